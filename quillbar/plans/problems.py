@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillbar.operators import references, regrid, rejects, rolling, snapshots
+from quillbar.operators import references, regrid, rejects, rolling, snapshots, spikes, timestamps
 from quillbar.plans import Registry
 from quillbar.sources.tables import ist_day, latest_bars, table
 
@@ -119,6 +119,13 @@ def p2_rolling_totals(spark: SparkSession, d: str) -> DataFrame:
     return rolling.rolling_totals(daily, ["symbol", "exchange"], "day", "volume", "close")
 
 
+# ---- 3: mixed timestamp formats and time zones
+@R.add("p3_found")
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    values = timestamps.platform_values(table(spark, d, "pending_orders"), table(spark, d, "sandbox_gtt"))
+    return timestamps.resolve(values).select(F.col("source").alias("field_name"), "rec_id", "utc_us")
+
+
 # ---- 4: rows that fail to parse
 @R.add("p4_found", _P4_SQL + " select line_id, reason from r where reason is not null and reason <> 'header'")
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -133,6 +140,18 @@ def p4_loaded(spark: SparkSession, d: str) -> DataFrame:
     return rejects.loaded_records(table(spark, d, "cds_symbols")).select("line_id", "file_date", "token", "trading_symbol", "strike_price")
 
 
+# ---- 5: implausible spikes
+@R.add("p5_found")
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return spikes.implausible_bars(table(spark, d, "market_data")).select("symbol", "exchange", "bar_interval", "bar_ts").distinct()
+
+
+@R.add("p5_report")
+def p5_report(spark: SparkSession, d: str) -> DataFrame:
+    """Cases per series and kind."""
+    return spikes.implausible_bars(table(spark, d, "market_data")).groupBy("symbol", "exchange", "bar_interval", "why").agg(F.count("*").alias("bars"))
+
+
 # ---- 6: what changed between full snapshots
 _P6_SQL = f"""
 with s as (
