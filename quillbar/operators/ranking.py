@@ -31,3 +31,15 @@ def blocks(df: DataFrame, rank: str, size: int, margin: int) -> DataFrame:
         F.array(home, F.when((at < margin) & (home > 0), home - 1), F.when(at >= size - margin, home + 1))
     )
     return df.withColumn("_home", home).withColumn("block", F.explode(near)).withColumn("core", F.col("block") == F.col("_home")).drop("_home")
+
+
+def running_before(df: DataFrame, keys: list[str], order: list[Column], bucket: Column, value: str, name: str) -> DataFrame:
+    """Adds the exact sum of ``value`` over the rows of the group before each row,
+    with the same two levels as ``ranked``."""
+    b = df.withColumn("_b", bucket)
+    sums = b.groupBy(*keys, "_b").agg(F.sum(value).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(*keys, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    inside = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    local = b.withColumn("_in", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    return local.join(offsets, [*keys, "_b"]).withColumn(name, F.col("_off") + F.col("_in")).drop("_b", "_off", "_in")
