@@ -38,3 +38,25 @@ def cut_lineage(df, eager: bool = True):
         folder = spark.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
     return df.checkpoint(eager)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the workers once per application, so that they need
+    not have it installed. The driver's file server hands out the archive."""
+    import tempfile
+    import zipfile
+    from pathlib import Path
+
+    home = Path(__file__).resolve().parent
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED or not home.is_dir():
+        return
+    target = Path(tempfile.mkdtemp(prefix="quillbar-")) / "quillbar_ship.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(home.rglob("*.py")):
+            z.write(p, Path(home.name) / p.relative_to(home))
+    spark.sparkContext.addPyFile(str(target))
+    _SHIPPED.add(app)
+
+
+_SHIPPED: set[str] = set()
