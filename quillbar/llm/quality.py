@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -31,9 +32,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillbar.llm.words import ALL, COMMON, LANGUAGES
+from quillbar.session import cut_lineage
 
 #: Score from which a text is read by the exact check.
-SCORE_LIMIT = 1.0
+SCORE_LIMIT = 1.5
 SALTS = 8
 STATS = ("word_count", "mean_word_length", "symbol_ratio", "closed_line_share", "common_word_share")
 _SPACE = r"[\s\p{Z}\x{feff}]"
@@ -46,13 +48,14 @@ def statistics(docs: DataFrame) -> DataFrame:
     t = F.col("text")
     words = F.filter(F.split(t, f"{_SPACE}+"), lambda w: w != "")
     lines = F.filter(F.transform(F.split(t, r"\r\n|\r|\n"), lambda x: F.regexp_replace(x, f"{_SPACE}+$", "")), lambda x: x != "")
-    bare = F.transform(words, lambda w: F.lower(F.regexp_replace(w, _EDGE, "")))
+    bare = F.transform("_words", lambda w: F.lower(F.regexp_replace(w, _EDGE, "")))
     share = lambda lang: F.size(F.filter("_bare", lambda w: w.isin(COMMON[lang]))) / F.col("word_count")
     ratio = lambda a, b: F.when(b > 0, F.round(a / b, 6))
-    d = docs.select("doc_id", "lang", "text", words.alias("_words"), lines.alias("_lines"), bare.alias("_bare"))
-    d = d.withColumn("word_count", F.when(t.isNotNull(), F.size("_words"))).withColumn("_n", F.length(t))
-    for lang in LANGUAGES:
-        d = d.withColumn(f"_{lang}", F.when(F.col("word_count") > 0, share(lang)))
+    # a generator of one row keeps the optimizer from copying these expressions into every use of them
+    once = lambda **cols: F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()])))
+    d = docs.select("doc_id", "lang", "text", once(_words=words, _lines=lines))
+    d = d.select("*", once(_bare=bare, word_count=F.when(t.isNotNull(), F.size("_words")), _n=F.length(t)))
+    d = d.select("*", once(**{f"_{x}": F.when(F.col("word_count") > 0, share(x)) for x in LANGUAGES}))
     best = F.greatest(*[F.col(f"_{x}") for x in LANGUAGES])
     shown = F.lit(None).cast("string")
     for lang in reversed(LANGUAGES):
@@ -92,12 +95,13 @@ def tails(long: DataFrame) -> DataFrame:
 
 
 def outlier_scores(stats: DataFrame) -> DataFrame:
-    """doc_id, outlier_score of every text with words."""
-    live = stats.where("word_count > 0")
+    """doc_id, outlier_score of every text with words. The statistics are written
+    once to the checkpoint folder: ranks and scores both read them."""
+    live = cut_lineage(stats.where("word_count > 0"))
     entries = F.array(*[F.struct(F.lit(s).alias("stat"), F.col(s).cast("double").alias("value")) for s in STATS])
     own = live.select("doc_id", F.col("language").alias("grp"), F.inline(entries)).where("value is not null")
     # texts without a language are measured against all texts
-    pooled = own.where("grp <> 'und'").unionByName(own.withColumn("grp", F.lit("und")))
+    pooled = own.withColumn("grp", F.explode(F.array_distinct(F.array("grp", F.lit("und")))))
     t = tails(pooled).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     hit = own.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(t, ["stat", "grp", "value", "salt"])
     left, right = -F.log("left"), -F.log("right")
@@ -119,7 +123,7 @@ _STRIP = ".,;:!?()[]«»\"“”„'’—–->"
 P_PROSE, P_OTHER = 0.46, 0.05
 _HIT, _MISS = math.log(P_PROSE / P_OTHER), math.log((1 - P_PROSE) / (1 - P_OTHER))
 #: Log-odds of prose at the start, cost of a change, and weight of a list line.
-PRIOR, CHANGE, LIST_LINE = 4.0, 2.0, -4.0
+PRIOR, CHANGE, LIST_LINE, REPEATED_LINE = 4.0, 2.0, -4.0, -1.0
 
 
 def _weight(piece: str) -> float:
@@ -169,7 +173,11 @@ def other_share(text: str) -> float:
     """Share of a text's characters that are not prose, by the most likely division."""
     lines = text.splitlines(keepends=True)
     pieces: list[tuple[int, float]] = []
+    times = Counter(x.strip() for x in lines)
     for line, listed in zip(lines, _list_lines(lines)):
+        if not listed and len(line) <= 40 and line.strip() and times[line.strip()] >= 3:  # furniture of a page
+            pieces.append((len(line), min(REPEATED_LINE, _weight(line))))
+            continue
         if listed:
             pieces.append((len(line), LIST_LINE))
             continue
