@@ -35,7 +35,7 @@ from quillbar.llm.words import ALL, COMMON, LANGUAGES
 from quillbar.session import cut_lineage
 
 #: Score from which a text is read by the exact check.
-SCORE_LIMIT = 1.5
+SCORE_LIMIT = 2.5
 SALTS = 8
 STATS = ("word_count", "mean_word_length", "symbol_ratio", "closed_line_share", "common_word_share")
 _SPACE = r"[\s\p{Z}\x{feff}]"
@@ -53,15 +53,15 @@ def statistics(docs: DataFrame) -> DataFrame:
     ratio = lambda a, b: F.when(b > 0, F.round(a / b, 6))
     # a generator of one row keeps the optimizer from copying these expressions into every use of them
     once = lambda **cols: F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()])))
-    d = docs.select("doc_id", "lang", "text", once(_words=words, _lines=lines))
+    d = docs.select("doc_id", "text", once(_words=words, _lines=lines))
     d = d.select("*", once(_bare=bare, word_count=F.when(t.isNotNull(), F.size("_words")), _n=F.length(t)))
     d = d.select("*", once(**{f"_{x}": F.when(F.col("word_count") > 0, share(x)) for x in LANGUAGES}))
     best = F.greatest(*[F.col(f"_{x}") for x in LANGUAGES])
     shown = F.lit(None).cast("string")
     for lang in reversed(LANGUAGES):
         shown = F.when(F.col(f"_{lang}") == best, lang).otherwise(shown)
-    said = F.lower(F.substring(F.trim("lang"), 1, 2))
-    language = F.when(best >= 0.1, shown).when(said.isin(*LANGUAGES), said).otherwise("und")
+    # the declared language is often wrong, so the text decides; without common words it shows none
+    language = F.when(best >= 0.1, shown).otherwise("und")
     return d.select(
         "doc_id", language.alias("language"), "word_count",
         ratio(F.length(F.regexp_replace(t, _SPACE, "")), F.col("word_count")).alias("mean_word_length"),
@@ -100,10 +100,10 @@ def outlier_scores(stats: DataFrame) -> DataFrame:
     live = cut_lineage(stats.where("word_count > 0"))
     entries = F.array(*[F.struct(F.lit(s).alias("stat"), F.col(s).cast("double").alias("value")) for s in STATS])
     own = live.select("doc_id", F.col("language").alias("grp"), F.inline(entries)).where("value is not null")
-    # texts without a language are measured against all texts
+    # every text is also measured against all texts
     pooled = own.withColumn("grp", F.explode(F.array_distinct(F.array("grp", F.lit("und")))))
     t = tails(pooled).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    hit = own.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(t, ["stat", "grp", "value", "salt"])
+    hit = pooled.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(t, ["stat", "grp", "value", "salt"])
     left, right = -F.log("left"), -F.log("right")
     pull = (
         F.when(F.col("stat") == "symbol_ratio", right)
@@ -111,8 +111,14 @@ def outlier_scores(stats: DataFrame) -> DataFrame:
         .when(F.col("stat") == "mean_word_length", F.greatest(left, right))
         .otherwise(F.lit(0.0))
     )
-    both = F.greatest(left, right)
-    return hit.groupBy("doc_id").agg(F.round(F.sum(pull), 6).alias("outlier_score"), F.round(F.sum(both), 6).alias("two_sided_score"))
+    all_texts = F.col("grp") == "und"
+
+    def stronger(x: Column) -> Column:
+        """The larger of the scores within the language and among all texts: in a
+        small or mostly foreign language group ranks say little."""
+        return F.round(F.greatest(F.sum(F.when(all_texts, x)), F.sum(F.when(~all_texts, x))), 6)
+
+    return hit.groupBy("doc_id").agg(stronger(pull).alias("outlier_score"), stronger(F.greatest(left, right)).alias("two_sided_score"))
 
 
 # ---- exact check

@@ -48,15 +48,15 @@ def _shares_sql() -> str:
 _SP = r"[\s\pZ\x{feff}]"
 _P10_SQL = rf"""
 with a as (
-  select doc_id, lang, text, list_filter(regexp_split_to_array(text, '{_SP}+'), lambda w: w <> '') as words,
+  select doc_id, text, list_filter(regexp_split_to_array(text, '{_SP}+'), lambda w: w <> '') as words,
     list_filter(list_transform(regexp_split_to_array(text, '\r\n|\r|\n'), lambda x: regexp_replace(x, '{_SP}+$', '')), lambda x: x <> '') as lines
   from documents
 ), b as (
   select *, list_transform(words, lambda w: lower(regexp_replace(w, '^[^\pL]+|[^\pL]+$', '', 'g'))) as bare from a
 ), c as (select *, {_shares_sql()} from b),
-e as (select *, greatest(s_en, s_de, s_fr) as best, lower(substr(trim(lang), 1, 2)) as said from c)
+e as (select *, greatest(s_en, s_de, s_fr) as best from c)
 select doc_id,
-  case when best >= 0.1 then case when s_en = best then 'en' when s_de = best then 'de' else 'fr' end when said in ('en', 'de', 'fr') then said else 'und' end as language,
+  case when best >= 0.1 then case when s_en = best then 'en' when s_de = best then 'de' else 'fr' end else 'und' end as language,
   cast(len(words) as int) as word_count,
   round(length(regexp_replace(text, '{_SP}', '', 'g')) / nullif(len(words), 0), 6) as mean_word_length,
   case when len(words) > 0 then round(length(regexp_replace(text, '[\pL\pN\s\pZ\x{{feff}}]', '', 'g')) / length(text), 6) end as symbol_ratio,
