@@ -71,6 +71,9 @@ class BarState:
         s = self.s
         if s[0] is not None and b < s[0]:
             return None
+        if b == s[0] and not s[7]:  # first tick after the clock closed the bucket before
+            s[1], s[2], s[3], s[4], s[5], s[7] = p, p, p, p, cum, 1
+            return None
         if b == s[0]:
             s[2], s[3], s[4], s[7] = max(s[2], p), min(s[3], p), p, s[7] + 1
             s[5] = cum if cum is not None else s[5]
@@ -129,7 +132,9 @@ class BarProcessor(StatefulProcessor):
 
 
 def closing_bars(ticks: DataFrame, span: int) -> DataFrame:
-    """Bars from a stream of (symbol, ts seconds, seq, price, cumulative volume)."""
+    """Bars from a stream of (symbol, ts seconds, seq, price, cumulative volume).
+    The package has to be on the driver's Python path: the state runner starts its
+    own interpreter. Timers run by the clock, so the query runs until stopped."""
     return ticks.groupBy("symbol").transformWithStateInPandas(statefulProcessor=BarProcessor(span), outputStructType=BAR, outputMode="Append", timeMode="ProcessingTime")
 
 
