@@ -196,3 +196,20 @@ R.add("snk11_touch_alerts", """with o as (select event_type as alert_type, max(v
 R.add("snk12_resolve_alerts", "select event_type as alert_type, max(value) as value, max(value) < 400 as resolved from events group by 1")(
     lambda s, d: archive.resolve_alerts(table(s, d, "events").groupBy(F.col("event_type").alias("alert_type")).agg(F.max("value").alias("value")), F.lit(400.0))
 )
+R.add("f2_pair_list", with_views("bars", "select symbol, exchange, count(*) n from bars where (symbol = 'ZINTARCONT' and exchange = 'MCX') or (symbol = 'ZINTARCONT' and exchange = 'NCDEX') group by 1, 2"))(
+    lambda s, d: bars(s, d).join(s.createDataFrame([("ZINTARCONT", "MCX"), ("ZINTARCONT", "NCDEX")], "symbol string, exchange string"), ["symbol", "exchange"], "left_semi").groupBy("symbol", "exchange").agg(F.count("*").alias("n"))
+)
+R.add("f3_between", with_views("bars", "select interval, count(*) n from bars where timestamp between 1790000000 and 1791000000 group by 1"))(lambda s, d: bars(s, d).where(F.col("timestamp").between(1790000000, 1791000000)).groupBy("interval").agg(F.count("*").alias("n")))
+R.add("f13_canonical_rows", with_views("bars", "select timestamp, open, high, low, close, volume, oi from bars where interval = '1h'"))(lambda s, d: connectors.check_history(bars(s, d).where("interval = '1h'")))
+R.add("s11_newest_first", with_views("long", "select symbol, day, row_number() over (partition by symbol order by day desc) as pos from long"))(
+    lambda s, d: long_series(s, d).select("symbol", "day", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("day"))).alias("pos"))
+)
+R.add("sc3_parse_symbol", f"select distinct symbol, regexp_extract(symbol, '{options.SYMBOL_FORM}', 3) as strike from sandbox_orders where symbol is not null")(
+    lambda s, d: table(s, d, "sandbox_orders").where("symbol is not null").select("symbol", options.parse_symbol(F.col("symbol"))["strike"].alias("strike")).distinct()
+)
+R.add("sp7_start_heatmap", with_views("long", """, m as (select symbol, cast(date_trunc('month', day) as date) mo, arg_min(close, day) buy, arg_max(close, day) fin from long group by 1, 2), x as (select *, (year(mo) - 1970) * 12 + month(mo) - 1 as i from m),
+    s as (select x.symbol, x.i as s, n, x.mo from x join (select symbol, min(i) lo from x group by 1) l using (symbol), (values (12), (24), (36)) y(n) where (x.i - lo) % 6 = 0),
+    c as (select s.symbol, s.mo as start, n // 12 as years, round(sum(1000 / buy) * arg_max(fin, x.i) / (n * 1000), 6) as multiple from s join x on x.symbol = s.symbol and x.i between s.s and s.s + n - 1 group by s.symbol, s.mo, n having count(*) = n)
+    select symbol, start, max(case when years = 1 then multiple end) as y1, max(case when years = 2 then multiple end) as y2, max(case when years = 3 then multiple end) as y3 from c group by 1, 2"""))(
+    lambda s, d: sip.rolling_plans(long_series(s, d), [1, 2, 3], 6, 1000.0).withColumn("multiple", F.round("multiple", 6)).groupBy("symbol", "start").pivot("years", [1, 2, 3]).agg(F.max("multiple")).toDF("symbol", "start", "y1", "y2", "y3")
+)
