@@ -8,7 +8,7 @@ score (the sum of their negative logarithms, as in outlier detection by
 empirical cumulative distributions), in the directions that point away from
 prose: many symbols, few closed lines, few common words, unusual word lengths.
 
-Texts that are not prose make up a seventh of these data, so no score of ranks
+Texts that are not prose make up some 16 % of these data, so no score of ranks
 alone can tell where they begin; the score selects the texts that an exact
 check then reads. The check cuts a text into lines and pieces of lines, weighs
 the common words in each piece against the rest, recognises runs of list lines
