@@ -42,8 +42,8 @@ R.add("o9_pain_by_strike", with_views("chain", _PAIN + " select * from p"))(lamb
 R.add("j12_max_pain", with_views("chain", _PAIN + " select expiry, arg_min(strike, (pain, strike)) as max_pain, min(pain) as pain from p group by 1"))(lambda s, d: options.max_pain(chain(s, d)))
 _PROF = _G + """, e as (select *, case when side = 'CE' then 1 else -1 end * coalesce(gamma, 0) * oi * 125.0::double * 125.0::double * 0.01 / 1e7 as gex, delta * oi * 125.0::double / 1e7 as dex from g),
     p as (select expiry, strike, sum(gex) filter (where side = 'CE') as ce_gex, sum(gex) filter (where side = 'PE') as pe_gex, sum(gex) as gex, sum(dex) as dex, bool_or(gamma is null and oi > 0) as unpriced from e group by 1, 2)"""
-R.add("o11_strike_profile", with_views("chain", _PROF + " select expiry, strike, round(ce_gex, 13) ce_gex, round(pe_gex, 13) pe_gex, round(gex, 13) gex, round(dex, 10) dex, unpriced from p"))(
-    lambda s, d: options.exposure(_greeked(s, d), _SPOT).select("expiry", "strike", *[F.round(c, 13).alias(c) for c in ("ce_gex", "pe_gex", "gex")], F.round("dex", 10).alias("dex"), "unpriced")
+R.add("o11_strike_profile", with_views("chain", _PROF + " select expiry, strike, round(ce_gex, 15) ce_gex, round(pe_gex, 15) pe_gex, round(gex, 15) gex, round(dex, 10) dex, unpriced from p"))(
+    lambda s, d: options.exposure(_greeked(s, d), _SPOT).select("expiry", "strike", *[F.round(c, 15).alias(c) for c in ("ce_gex", "pe_gex", "gex")], F.round("dex", 10).alias("dex"), "unpriced")
 )
 R.add("o10_walls", with_views("chain", _PROF + " select expiry, arg_max(strike, (coalesce(ce_gex, 0), -strike)) as call_wall, arg_min(strike, (coalesce(pe_gex, 0), strike)) as put_wall, round(sum(gex), 10) as net_gex from p group by 1"))(
     lambda s, d: options.walls(options.exposure(_greeked(s, d), _SPOT)).withColumn("net_gex", F.round("net_gex", 10))
