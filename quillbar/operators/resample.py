@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillbar.functions.intervals import OPEN_SECONDS, Interval, bucket_start, parse_interval
+from quillbar.functions.intervals import OPEN_SECONDS, bucket_start, parse_interval
 
 
 def fold_bars(bars: DataFrame, keys: list[str], order: Column) -> DataFrame:
@@ -96,7 +96,3 @@ def confirmed(bars: DataFrame, horizon: Column, width: int) -> DataFrame:
     w = Window.partitionBy("symbol", "exchange").orderBy("timestamp")
     end = F.col("timestamp") + width
     return bars.withColumn("confirmed", (end <= horizon) | F.coalesce(F.lead("timestamp").over(w) >= end, F.lit(False)))
-
-
-def describe(interval: str) -> Interval | None:
-    return parse_interval(interval)
