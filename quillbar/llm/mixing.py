@@ -11,6 +11,9 @@ tokens x max_repeats / target_share. A source is used up to its share of that
 total; its last block ends with the document that brings it nearest, so shares
 are met to within half a document. A block has one slot per repetition, and a
 source has at most max_repeats repetitions, so no document is used more often.
+Slots are laid out for whole repetitions, as many as hold the share: a text
+longer than a block leaves blocks behind it empty, so a part of the slots may
+hold far less than their number times the block length.
 
 Scale: positions and running totals are exact prefix sums over buckets; only
 one row per source (totals, slots needed) reaches the driver, and the shard
@@ -97,13 +100,14 @@ def mix(docs: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKENS, s
 
     have = {r.source: int(r.n) for r in counted.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
     total = min((have[s] * r / p for s, (p, r) in want.items() if have.get(s)), default=0.0)
-    # per source: blocks, target tokens, slots that may be needed
+    # per source: blocks, target tokens, slots of the repetitions that hold the
+    # target: each holds all tokens once, however unevenly blocks are filled
     rows = []
     for s, (p, r) in sorted(want.items()):
         if not have.get(s):
             continue
         blocks, goal = math.ceil(have[s] / block_tokens), p * total
-        slots = min(r * blocks, math.ceil(1.25 * goal / have[s] * blocks) + 32)
+        slots = min(r, math.ceil(goal / have[s])) * blocks
         rows.append((s, blocks, float(goal), slots))
     sizes = spark.createDataFrame(rows, "source string, blocks bigint, goal double, slots bigint")
 
@@ -117,7 +121,8 @@ def mix(docs: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKENS, s
         .select("doc_id", "source", "n_tokens", "block", "before")
     )
     content = packed.groupBy("source", "block").agg(F.sum("n_tokens").alias("block_sum"))
-    slots = sizes.select("source", "blocks", "goal", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("slots") - 1)).alias("slot"))
+    slots = sizes.select("source", "blocks", "goal", "slots", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("slots") - 1, F.lit(4096).cast("bigint"))).alias("_from"))
+    slots = slots.select("source", "blocks", "goal", F.explode(F.sequence("_from", F.least(F.col("_from") + 4096, "slots") - 1)).alias("slot"))
     slots = slots.withColumn("repeat", F.floor(F.col("slot") / F.col("blocks"))).withColumn(
         "block", _permuted(F.col("slot") % F.col("blocks"), F.col("repeat"), F.col("blocks"), F.col("source"), seed)
     )

@@ -39,6 +39,15 @@ def test_scarce_source_bounds_the_total_and_is_used_up(spark):
     assert got == pytest.approx(2 * have, abs=300) and got <= 2 * have
 
 
+def test_one_very_long_text_leaves_no_source_short(spark):
+    short = spark.range(1000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 750, "long").otherwise("plain").alias("source"), F.lit("word and line again. ").alias("text"))
+    long = spark.createDataFrame([(5000, "long", "word and line again. " * 880)], short.schema)
+    t = spark.createDataFrame([("long", 0.5, 1), ("plain", 0.5, 1)], "source string, target_share double, max_repeats int")
+    docs = short.union(long)
+    sh = {r.source: r for r in mixing.shares(mixing.mix(docs, t, block_tokens=16, shards=4, seed=1), t).collect()}
+    assert sh["long"].tokens == sh["plain"].tokens and sh["long"].share_reached == 0.5
+
+
 def test_absent_source_and_empty_tables(spark):
     docs = _docs(spark, 200)
     t = spark.createDataFrame([("big", 0.5, 1), ("ghost", 0.5, 9)], "source string, target_share double, max_repeats int")
