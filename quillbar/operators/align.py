@@ -97,15 +97,16 @@ def pair_correlations(long: DataFrame, key: str = "symbol", at: str = "day", val
     return p.withColumn("corr", F.when(F.col("n") >= least, F.col("corr")))
 
 
-def neighbours(df: DataFrame, key: str, order: list[Column], n: int = 3) -> DataFrame:
+def neighbours(df: DataFrame, key: str | list[str], order: list[Column], n: int = 3) -> DataFrame:
     """The n first rows per key with their rank."""
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("rank") <= n)
 
 
-def calendar_pairs(ranked: DataFrame, key: str, item: str, value: str) -> DataFrame:
+def calendar_pairs(ranked: DataFrame, key: str | list[str], item: str, value: str) -> DataFrame:
     """First item of a key against its second and third."""
-    near = ranked.where("rank = 1").select(key, F.col(item).alias("near"), F.col(value).alias("near_value"))
-    far = ranked.where("rank in (2, 3)").select(key, F.col(item).alias("far"), F.col(value).alias("far_value"), "rank")
+    key = [key] if isinstance(key, str) else key
+    near = ranked.where("rank = 1").select(*key, F.col(item).alias("near"), F.col(value).alias("near_value"))
+    far = ranked.where("rank in (2, 3)").select(*key, F.col(item).alias("far"), F.col(value).alias("far_value"), "rank")
     return near.join(far, key).withColumn("spread", F.col("far_value") - F.col("near_value"))
 
 

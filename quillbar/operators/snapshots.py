@@ -40,6 +40,14 @@ def expiry_date(c: str) -> Column:
     return F.coalesce(*tries)
 
 
+def latest_futures(instruments: DataFrame) -> DataFrame:
+    """Futures of the latest snapshot, one row per (exchange, name, symbol), with
+    ``expiry_on`` from any delivered form; those without an underlying or an
+    expiry are left out, an expiry of no known form is null."""
+    live = instruments.where("instrumenttype = 'FUT' and trim(name) <> '' and trim(expiry) <> ''").where(F.col("snapshot_date") == instruments.agg(F.max("snapshot_date")).scalar())
+    return live.groupBy("exchange", "name", "symbol").agg(F.min(expiry_date("expiry")).alias("expiry_on"))
+
+
 def _state(kinds: dict[str, Column]) -> Column:
     """The watched columns as one comparable text, null included."""
     return F.concat_ws("\x01", *[F.coalesce(c.cast("string"), F.lit(_NULL)) for c in kinds.values()])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillbar.operators import align, archive, options, simulation, sip
 from quillbar.operators.resample import tick_bars
 from quillbar.operators.series import longest_runs
+from quillbar.operators.snapshots import latest_futures
 from quillbar.plans import Registry
 from quillbar.plans.portfolio import _ret
 from quillbar.sources import connectors
@@ -99,8 +100,8 @@ R.add("o16_straddle_series", with_views("bars", "select symbol, exchange, timest
 R.add("o19_calendar_spreads", """with f as (select distinct name, symbol, token, try_strptime(expiry, '%d-%b-%y') as e from symtoken where instrumenttype = 'FUT' and length(expiry) = 9 and snapshot_date = date '2026-10-19'), k as (select *, row_number() over (partition by name order by e, symbol, token) as rank from f)
     select a.name, a.symbol as near, b.symbol as far, b.rank from k a join k b on a.name = b.name and a.rank = 1 and b.rank in (2, 3)""")(
     lambda s, d: align.calendar_pairs(
-        align.neighbours(table(s, d, "symtoken").where("instrumenttype = 'FUT' and length(expiry) = 9 and snapshot_date = date '2026-10-19'").select("name", "symbol", "token", F.to_date(F.try_to_timestamp(F.initcap("expiry"), F.lit("dd-MMM-yy"))).alias("e")).distinct(), "name", [F.col("e"), F.col("symbol"), F.col("token")]).withColumn("z", F.lit(0)),
-        "name", "symbol", "z").select("name", "near", "far", "rank")
+        align.neighbours(latest_futures(table(s, d, "symtoken")), ["exchange", "name"], [F.asc_nulls_last("expiry_on"), F.col("symbol")]).withColumn("z", F.lit(0)),
+        ["exchange", "name"], "symbol", "z").select("name", "near", "far", "rank")
 )
 R.add("a11_chain_ratio", with_views("chain", "select expiry, round(coalesce(sum(oi) filter (where side = 'PE') / nullif(sum(oi) filter (where side = 'CE'), 0), 0), 4) as pcr from chain group by 1"))(
     lambda s, d: options.totals(chain(s, d)).select("expiry", F.round(F.col("pe_oi") / F.col("ce_oi"), 4).alias("pcr"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillbar.operators import align, series
 from quillbar.operators.resample import tick_bars
+from quillbar.operators.snapshots import latest_futures
 from quillbar.plans import Registry
 from quillbar.sources.tables import table
 from quillbar.sources.views import bars, chain, daily, legs, long_series, ticks, with_views
@@ -71,10 +72,7 @@ R.add("w15_keep_first_last", with_views("ticks", "select user_id, symbol, arg_mi
 )
 R.add("w16_nearest_expiries", """select name, symbol, rank from (select name, symbol, row_number() over (partition by name order by try_strptime(expiry, '%d-%b-%y'), symbol) as rank from
     (select distinct name, symbol, expiry from symtoken where exchange = 'CDS' and instrumenttype = 'FUT' and length(expiry) = 9 and snapshot_date = date '2026-10-19')) where rank <= 3""")(
-    lambda s, d: align.neighbours(
-        table(s, d, "symtoken").where("exchange = 'CDS' and instrumenttype = 'FUT' and length(expiry) = 9 and snapshot_date = date '2026-10-19'").select("name", "symbol", "expiry").distinct(),
-        "name", [F.to_date(F.try_to_timestamp(F.initcap("expiry"), F.lit("dd-MMM-yy"))), F.col("symbol")],
-    ).select("name", "symbol", "rank")
+    lambda s, d: align.neighbours(latest_futures(table(s, d, "symtoken")), ["exchange", "name"], [F.asc_nulls_last("expiry_on"), F.col("symbol")]).select("name", "symbol", "rank")
 )
 R.add("w17_nth_from_last", with_views("daily", "select symbol, exchange, day, oi from (select *, row_number() over (partition by symbol, exchange order by day desc) r from daily) where r = 2"))(
     lambda s, d: daily(s, d).withColumn("r", F.row_number().over(Window.partitionBy("symbol", "exchange").orderBy(F.desc("day")))).where("r = 2").select("symbol", "exchange", "day", "oi")
