@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,6 +101,44 @@ def pair_correlations(long: DataFrame, key: str = "symbol", at: str = "day", val
     return p.withColumn("corr", F.when(F.col("n") >= least, F.col("corr")))
 
 
+def correlated_pairs(long: DataFrame, atleast: float, key: str = "symbol", at: str = "day", value: str = "ret", least: int = 20, members: int = 256) -> DataFrame:
+    """The pairs of ``pair_correlations`` whose correlation is at least
+    ``atleast``, for many members: members are hashed into blocks, every two
+    blocks meet in one task as matrices over their days, and only links leave it."""
+    s = long.where(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(F.col(key).alias("k")).agg(F.collect_list(F.struct(F.unix_date(at).alias("d"), F.col(value).cast("double").alias("v"))).alias("_s"))
+    s = s.select("k", F.col("_s.d").alias("d"), F.col("_s.v").alias("v"))
+    n = max(1, math.ceil(long.select(key).distinct().count() / members))
+    s = s.withColumn("block", F.pmod(F.xxhash64("k"), F.lit(n)).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    s = s.withColumn("p", F.least("block", "_o")).withColumn("q", F.greatest("block", "_o")).drop("_o")
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        days = np.unique(np.concatenate(g["d"].to_list()))
+
+        def matrix(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            x, m = np.zeros((len(rows), len(days))), np.zeros((len(rows), len(days)))
+            for i, (d, v) in enumerate(zip(rows["d"], rows["v"])):
+                c = np.searchsorted(days, d)
+                x[i, c], m[i, c] = np.asarray(v) - np.mean(v), 1.0  # near zero, so that sums of squares keep their digits
+            return rows["k"].to_numpy(), x, m
+
+        same = g["p"].iloc[0] == g["q"].iloc[0]
+        ka, xa, ma = matrix(g[g["block"] == g["p"]])
+        kb, xb, mb = (ka, xa, ma) if same else matrix(g[g["block"] == g["q"]])
+        k = ma @ mb.T
+        with np.errstate(divide="ignore", invalid="ignore"):
+            sx, sy, xx, yy = xa @ mb.T, ma @ xb.T, (xa * xa) @ mb.T, ma @ (xb * xb).T
+            vx, vy = xx - sx * sx / k, yy - sy * sy / k
+            corr = (xa @ xb.T - sx * sy / k) / np.sqrt(vx * vy)
+            # no correlation where a member does not vary over the shared days
+            link = (k >= least) & (vx > 1e-12 * xx + 1e-24) & (vy > 1e-12 * yy + 1e-24) & (corr >= atleast)
+        i, j = np.nonzero(np.triu(link, 1) if same else link)
+        ends = [sorted(e) for e in zip(ka[i], kb[j])]
+        return pd.DataFrame({"a": pd.Series([e[0] for e in ends], dtype=object), "b": pd.Series([e[1] for e in ends], dtype=object), "n": k[i, j].astype("int64"), "corr": corr[i, j]})
+
+    kind = long.schema[key].dataType.simpleString()
+    return s.groupBy("p", "q").applyInPandas(run, f"a {kind}, b {kind}, n bigint, corr double")
+
+
 def neighbours(df: DataFrame, key: str | list[str], order: list[Column], n: int = 3) -> DataFrame:
     """The n first rows per key with their rank."""
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("rank") <= n)

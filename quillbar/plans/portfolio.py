@@ -82,12 +82,17 @@ R.add("pf4_attribution", with_views("long", _AL + f""", r as (select * from (sel
     s as (select *, v / sum(v) over (partition by day) as w from v) select symbol, round(sum(w * ret), 5) as contribution, round(sum(w * b), 5) as allocation, round(sum(w * (ret - b)), 5) as selection from s join b using (day) group by 1"""))(
     lambda s, d: portfolio.attribution(returns(_aligned(s, d)), _weights(s), returns(_aligned(s, d)).groupBy("day").agg(F.avg("ret").alias("ret"))).select("symbol", *r(5, "contribution", "allocation", "selection"))
 )
-R.add("pf5_clusters")(lambda s, d: portfolio.clusters(align.pair_correlations(returns(_dl(s, d))), _dl(s, d).select("symbol").distinct()))
+R.add("pf5_clusters")(lambda s, d: portfolio.clusters(align.correlated_pairs(returns(_priced(_dl(s, d))), 0.6), _dl(s, d).select("symbol").distinct()))
 
 
 def _dl(s, d):
-    """Daily closes of the exchange with the fewer listings, as one keyed series."""
-    return daily(s, d).where("exchange = 'BSE'").select("symbol", "day", "close")
+    """Daily closes of every listing, as series keyed symbol/exchange."""
+    return daily(s, d).select(F.concat("symbol", F.lit("/"), "exchange").alias("symbol"), "day", "close")
+
+
+def _priced(dl):
+    """Days with a finite positive close: from any other no return can be taken."""
+    return dl.where("close > 0 and close < double('inf')")
 
 
 R.add("pf11_inverse_volatility", with_views("long", _RET + """, l as (select * from (select *, row_number() over (partition by symbol order by day desc) n from r) where n <= 60), v as (select symbol, 1 / stddev_samp(ret) as i, case when symbol < '3' then 'a' else 'b' end as cluster from l group by symbol)

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
 import __spark_entry__ as entry
+from quillbar.operators import align
 
 
 def _run(spark, tmp_path, query, **tables):
@@ -26,3 +28,30 @@ def test_nearest_futures_of_every_exchange_and_form(spark, tmp_path):
     f = _futures(spark)
     assert _run(spark, tmp_path, "w16_nearest_expiries", symtoken=f) == [("A", "A1", 1), ("A", "A2", 2), ("A", "A3", 3), ("A", "M1", 1), ("C", "C1", 1)]
     assert _run(spark, tmp_path, "o19_calendar_spreads", symtoken=f) == [("A", "A1", "A2", 2), ("A", "A1", "A3", 3)]
+
+
+BARS = "symbol string, exchange string, interval string, timestamp bigint, open double, high double, low double, close double, volume bigint, oi bigint, created_at timestamp"
+
+
+def test_clusters_over_every_exchange(spark, tmp_path):
+    rows = []
+    for k in range(30):
+        up = 100.0 + 7 * (k % 5) + k
+        for s, e, c in (("A", "NSE", up), ("A", "BSE", 2 * up), ("B", "NSE", 3 * up), ("Z", "NSE", 0.0 if k == 9 else 100.0 + 9 * (k % 3 == 1))):
+            rows.append((s, e, "D", (20000 + k) * 86400, c, c, c, c, 1, 0, None))
+    got = _run(spark, tmp_path, "pf5_clusters", market_data=spark.createDataFrame(rows, BARS))
+    assert got == [("A/BSE", "A/BSE"), ("A/NSE", "A/BSE"), ("B/NSE", "A/BSE"), ("Z/NSE", "Z/NSE")]
+
+
+def test_correlated_pairs_in_blocks(spark):
+    rng = random.Random(5)
+    rows = []
+    for k in range(60):
+        base = [rng.gauss(0, 1) for _ in range(3)]
+        rows += [(f"s{i:02}", dt.date(2026, 1, 1) + dt.timedelta(days=k), 0.01 * (1 if i == 19 else base[i % 3] + rng.gauss(0, 0.7))) for i in range(20) if rng.random() < 0.2 + 0.05 * i]
+    long = spark.createDataFrame(rows, "symbol string, day date, ret double")
+    want = {(r.a, r.b): (r.n, r.corr) for r in align.pair_correlations(long.where("symbol <> 's19'")).where("corr >= 0.6").collect()}
+    assert len(want) > 5
+    for members in (3, 256):
+        got = {(r.a, r.b): (r.n, r.corr) for r in align.correlated_pairs(long, 0.6, members=members).collect()}
+        assert got.keys() == want.keys() and all(got[p][0] == want[p][0] and abs(got[p][1] - want[p][1]) < 1e-9 for p in want)
