@@ -1,9 +1,10 @@
 """Irregular readings onto a regular grid.
 
-A series' readings within a session are seen as a cumulative counter (for bars:
-the running volume of the session). Resets are detected, consecutive readings
-are differenced, each increment is distributed over the grid cells in
-proportion to its overlap, and cells without a reading are marked.
+A bar's volume is what its series gained since the bar before; of a cumulative
+counter, resets are detected and consecutive readings differenced first
+(``counter_increments``). Each increment is distributed over the grid cells in
+proportion to its overlap, and cells in which no reading is stamped are marked;
+the marks rest on the stamps alone.
 
 Scale: everything runs per (series, session), which is bounded by the length of
 a session; a hot series is spread over its sessions. Readings are folded to
@@ -11,8 +12,8 @@ their latest version before the shuffle. The calendar is small and fixed; it is
 joined by equality, and Spark broadcasts it only below its checked threshold.
 
 Defined results: readings outside every session belong to no period; two
-readings in a period count once as a reading and add up; null volume adds
-nothing; a session with a single reading has no hole; unknown intervals and
+readings in a period count once as a reading and add up; null or negative volume
+adds nothing; a session with a single reading has no hole; unknown intervals and
 exchanges give no rows; empty tables give empty results.
 """
 
@@ -49,6 +50,11 @@ def spread_over_cells(rows: DataFrame, origin: Column, step: Column, start: str,
     return r.withColumn(amount, F.col(amount) * part)
 
 
+def _gained() -> Column:
+    """The volume of a bar as an increment; null and negative ones are no reading of it."""
+    return F.greatest(F.coalesce("volume", F.lit(0)), F.lit(0)).cast("double")
+
+
 def _step() -> Column:
     c = F.lit(None).cast("bigint")
     for k, v in STEP_SECONDS.items():
@@ -79,11 +85,8 @@ def session_grid(bars: DataFrame, calendar: DataFrame) -> DataFrame:
     one = [*SERIES, "session_date"]
     fixed = ["open_ts", "close_ts", "step"]
     w = Window.partitionBy(*one).orderBy("timestamp")
-    counted = r.withColumn("counter", F.sum(F.coalesce("volume", F.lit(0))).over(w)).withColumn(
-        "until", F.least(F.col("timestamp") + F.col("step"), F.col("close_ts"))
-    )
-    inc = counter_increments(counted, one, "until", "counter")
-    inc = inc.withColumn("start", F.least("until", F.greatest(F.coalesce("since", F.lit(0)), "timestamp"))).withColumn("increment", F.col("increment").cast("double"))
+    inc = r.withColumn("increment", _gained()).withColumn("until", F.least(F.col("timestamp") + F.col("step"), F.col("close_ts")))
+    inc = inc.withColumn("since", F.lag("until").over(w)).withColumn("start", F.least("until", F.greatest(F.coalesce("since", F.lit(0)), "timestamp")))
     inc = inc.withColumn("start", F.when(F.col("start") < F.col("until"), F.col("start")).otherwise(F.least(F.col("timestamp"), F.col("until") - 1)))
     cells = spread_over_cells(inc, F.col("open_ts"), F.col("step"), "start", "until", "increment").select(
         *one, F.col("cell").alias("slot"), (F.col("cell") == F.col("slot")).alias("own"), "timestamp", "close", F.col("increment").alias("v")
@@ -108,7 +111,7 @@ def session_grid(bars: DataFrame, calendar: DataFrame) -> DataFrame:
         "slot", F.row_number().over(Window.partitionBy("exchange").orderBy("session_date")).cast("bigint")
     )
     d = live.where("interval = 'D'").withColumn("session_date", ist_day("timestamp")).join(numbered, ["exchange", "session_date"])
-    dcell = d.groupBy(*SERIES, "slot").agg(F.sum(F.coalesce("volume", F.lit(0)).cast("double")).alias("volume"), F.max_by("close", "timestamp").alias("close"))
+    dcell = d.groupBy(*SERIES, "slot").agg(F.sum(_gained()).alias("volume"), F.max_by("close", "timestamp").alias("close"))
     dspan = dcell.groupBy(*SERIES).agg(F.min("slot").alias("lo"), F.max("slot").alias("hi"))
     dgrid = dspan.select(*SERIES, "lo", "hi", F.explode(F.sequence("lo", "hi")).alias("slot")).join(numbered, ["exchange", "slot"])
     daily = dgrid.join(dcell.withColumn("has", F.lit(True)), [*SERIES, "slot"], "left").select(

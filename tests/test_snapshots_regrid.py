@@ -72,3 +72,12 @@ def test_counter_resets_and_overlap(spark):
     assert [(r.t, r.increment, r.since) for r in inc.orderBy("t").collect()] == [(0, 5, None), (10, 4, 0), (25, 2, 10), (40, 0, 25)]
     x = spread_over_cells(inc.where("since is not null").withColumn("increment", F.col("increment").cast("double")), F.lit(0), F.lit(20), "since", "t", "increment")
     assert {(r.t, r.cell, round(r.increment, 4)) for r in x.collect()} == {(10, 0, 4.0), (25, 0, 1.3333), (25, 1, 0.6667), (40, 1, 0.0)}
+
+
+def test_negative_volume_is_no_reading(spark):
+    o = 1_760_000_400 - (1_760_000_400 + 19800) % 86400 + 33300
+    day = (dt.datetime(1970, 1, 1) + dt.timedelta(seconds=o + 19800)).date()
+    cal = spark.createDataFrame([("NSE", day, o, o + 240, "regular")], "exchange string, session_date date, open_ts bigint, close_ts bigint, slot string")
+    bars = spark.createDataFrame([_bar("A", "1m", o, 100), _bar("A", "1m", o + 60, 150), _bar("A", "1m", o + 120, -50), _bar("A", "1m", o + 180, 30), _bar("B", "D", o - 33300, -7)], BARS)
+    g = sorted((r.symbol, r.slot_ts - o, r.missing, r.volume) for r in session_grid(bars, cal).collect())
+    assert g == [("A", 0, False, 100.0), ("A", 60, False, 150.0), ("A", 120, False, 0.0), ("A", 180, False, 30.0), ("B", -33300, False, 0.0)]
