@@ -9,7 +9,7 @@ from quillbar.operators import align, archive, books, telemetry
 from quillbar.operators.series import returns
 from quillbar.operators.snapshots import expiry_date
 from quillbar.plans import Registry
-from quillbar.sources.tables import table
+from quillbar.sources.tables import latest_bars, table
 from quillbar.sources.views import bars, chain, daily, legs, long_series, ticks, with_views
 
 R = Registry()
@@ -56,7 +56,7 @@ R.add("a10_ohlcv", with_views("bars", "select symbol, exchange, arg_min(open, ti
     lambda s, d: bars(s, d).where("interval = '15m'").groupBy("symbol", "exchange").agg(F.min_by("open", "timestamp").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "timestamp").alias("close"), F.sum("volume").alias("volume"))
 )
 R.add("a12_first_non_null", "select exchange, arg_min(oi, timestamp) filter (where oi is not null) as first_oi from (select exchange, oi, min(timestamp) as timestamp from market_data where interval = 'D' and oi > 1000000000 group by 1, 2) group by 1")(
-    lambda s, d: table(s, d, "market_data").where("interval = 'D' and oi > 1000000000").groupBy("exchange", "oi").agg(F.min("timestamp").alias("timestamp")).groupBy("exchange").agg(F.min_by("oi", "timestamp").alias("first_oi"))
+    lambda s, d: latest_bars(table(s, d, "market_data"), "oi").groupBy("exchange").agg(F.min_by("oi", F.when(F.col("oi").isNotNull(), F.struct("timestamp", "symbol", "interval"))).alias("first_oi"))
 )
 R.add("a13_best_worst_day", with_views("long", _RET + " select symbol, arg_max(day, (ret, -epoch(day))) as best, arg_min(day, (ret, day)) as worst from r group by 1"))(
     lambda s, d: _ret(s, d).groupBy("symbol").agg(F.max_by("day", F.struct(F.col("ret"), -F.unix_date("day"))).alias("best"), F.min_by("day", F.struct("ret", "day")).alias("worst"))

@@ -55,3 +55,8 @@ def test_correlated_pairs_in_blocks(spark):
     for members in (3, 256):
         got = {(r.a, r.b): (r.n, r.corr) for r in align.correlated_pairs(long, 0.6, members=members).collect()}
         assert got.keys() == want.keys() and all(got[p][0] == want[p][0] and abs(got[p][1] - want[p][1]) < 1e-9 for p in want)
+
+
+def test_first_open_interest_in_time(spark, tmp_path):
+    rows = [(s, e, i, t, 1.0, 1.0, 1.0, 1.0, 1, o, None) for s, e, i, t, o in (("A", "MCX", "D", 60, None), ("A", "MCX", "1m", 120, 7), ("B", "MCX", "1m", 120, 5), ("A", "MCX", "1m", 180, 3), ("A", "NSE", "D", 60, 0), ("A", "NSE", "D", 90, 9), ("A", "BSE", "D", 60, None))]
+    assert _run(spark, tmp_path, "a12_first_non_null", market_data=spark.createDataFrame(rows, BARS)) == [("BSE", None), ("MCX", 7), ("NSE", 0)]
