@@ -106,8 +106,18 @@ R.add("o19_calendar_spreads", """with f as (select distinct name, symbol, token,
 R.add("a11_chain_ratio", with_views("chain", "select expiry, round(coalesce(sum(oi) filter (where side = 'PE') / nullif(sum(oi) filter (where side = 'CE'), 0), 0), 4) as pcr from chain group by 1"))(
     lambda s, d: options.totals(chain(s, d)).select("expiry", F.round(F.col("pe_oi") / F.col("ce_oi"), 4).alias("pcr"))
 )
+
+
+def _matrix(ret):
+    """Correlations of every member with every other; null where they share fewer than 20 days."""
+    p = align.pair_correlations(ret).select("a", "b", "corr")
+    own = ret.groupBy(F.col("symbol").alias("a"), F.col("symbol").alias("b")).agg(F.when(F.count("*") >= 20, F.lit(1.0)).alias("corr"))
+    both = p.unionByName(p.select(F.col("b").alias("a"), F.col("a").alias("b"), "corr")).unionByName(own)
+    return both.groupBy("a").pivot("b").agg(F.round(F.max("corr"), 6))
+
+
 R.add("a16_correlation_matrix", with_views("long", ", r as (select * from (select symbol, day, close / lag(close) over (partition by symbol order by day) - 1 as ret from long) where ret is not null) select a.symbol as a, max(case when b.symbol = '1-URGENT' then c end) as \"1-URGENT\", max(case when b.symbol = '5-LOW' then c end) as \"5-LOW\" from (select a.symbol, b.symbol as bs, round(corr(a.ret, b.ret), 6) as c from r a join r b on a.day = b.day group by 1, 2) a join (select distinct symbol from r) b on b.symbol = a.bs group by 1"))(
-    lambda s, d: _ret(s, d).select(F.col("symbol").alias("a"), "day", F.col("ret").alias("x")).join(_ret(s, d).select(F.col("symbol").alias("b"), "day", F.col("ret").alias("y")), "day").groupBy("a").pivot("b", ["1-URGENT", "5-LOW"]).agg(F.round(F.corr("x", "y"), 6))
+    lambda s, d: _matrix(_ret(s, d))
 )
 R.add("a23_daily_means", with_views("legs", "select strategy, round(avg(m), 4) as mean_of_days from (select strategy, day, avg(price) as m from legs group by 1, 2) group by 1"))(
     lambda s, d: legs(s, d).groupBy("strategy", "day").agg(F.avg("price").alias("m")).groupBy("strategy").agg(F.round(F.avg("m"), 4).alias("mean_of_days"))

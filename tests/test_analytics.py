@@ -142,3 +142,22 @@ def test_first_exit_rules(spark):
     assert (x.exit_day, x.exit, x.why) == (days[3], 80.0, "stop")  # the gap fills at the open, the stop comes before the target
     x = research.first_exit(sig, bars(d2=[125.0, 130.0, 110.0, 120.0]), 0.05, 0.2, 5).first()
     assert (x.exit_day, x.exit, x.why) == (days[2], 125.0, "target")
+
+
+def test_arrays_hold_the_whole_series(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    o = spark.range(200).selectExpr("'1-URGENT' as o_orderpriority", "date_add(date '1995-01-01', cast(id as int)) as o_orderdate", "cast(id + 1 as double) as o_totalprice")
+    o.write.parquet(f"{tmp_path}/orders.parquet")
+    r = entry.queries()["sc9_arrays"](spark, str(tmp_path)).first()
+    assert (r.n, r.top, r["first"], r.doubled) == (200, 200.0, 1.0, 30.0)
+
+
+def test_correlation_matrix_has_every_member(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    rows = [(s, dt.date(2026, 1, 1) + dt.timedelta(days=k), 100.0 + (k * 7) % 11) for s, n in (("x", 40), ("y", 40), ("z", 10)) for k in range(n)]
+    spark.createDataFrame(rows, "o_orderpriority string, o_orderdate date, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    got = entry.queries()["a16_correlation_matrix"](spark, str(tmp_path)).orderBy("a")
+    assert got.columns == ["a", "x", "y", "z"]
+    assert [tuple(r) for r in got.collect()] == [("x", 1.0, 1.0, None), ("y", 1.0, 1.0, None), ("z", None, None, None)]
