@@ -81,3 +81,25 @@ def test_negative_volume_is_no_reading(spark):
     bars = spark.createDataFrame([_bar("A", "1m", o, 100), _bar("A", "1m", o + 60, 150), _bar("A", "1m", o + 120, -50), _bar("A", "1m", o + 180, 30), _bar("B", "D", o - 33300, -7)], BARS)
     g = sorted((r.symbol, r.slot_ts - o, r.missing, r.volume) for r in session_grid(bars, cal).collect())
     assert g == [("A", 0, False, 100.0), ("A", 60, False, 150.0), ("A", 120, False, 0.0), ("A", 180, False, 30.0), ("B", -33300, False, 0.0)]
+
+
+def test_holes_come_from_the_increments(spark, monkeypatch):
+    """Without the spreading no hole is found; without the reset at a session's
+    end the night between two sessions would be one."""
+    from quillbar.operators import regrid
+
+    o = 1_760_000_400 - (1_760_000_400 + 19800) % 86400 + 33300
+    day = (dt.datetime(1970, 1, 1) + dt.timedelta(seconds=o + 19800)).date()
+    cal = spark.createDataFrame([("NSE", day + dt.timedelta(days=k), o + k * 86400, o + k * 86400 + 600, "regular") for k in range(3)], "exchange string, session_date date, open_ts bigint, close_ts bigint, slot string")
+    stamps = [o, o + 240, o + 86400 + 300, o + 86400 + 540]
+    bars = spark.createDataFrame([_bar("A", "1m", t) for t in stamps] + [_bar("A", "D", o), _bar("A", "D", o + 2 * 86400)], BARS)
+    got = lambda: sorted((r.bar_interval, r.slot_ts - o) for r in missing_periods(bars, cal).collect())
+    whole = got()
+    assert whole == [("1m", k) for k in (60, 120, 180, 86760, 86820, 86880)] + [("D", 86400 - 33300)]
+
+    spread, differenced = regrid.spread_over_cells, regrid.counter_increments
+    monkeypatch.setattr(regrid, "spread_over_cells", lambda rows, origin, step, start, end, amount: spread(rows.withColumn(start, rows[end]), origin, step, start, end, amount))
+    assert got() == []
+    monkeypatch.setattr(regrid, "spread_over_cells", spread)
+    monkeypatch.setattr(regrid, "counter_increments", lambda r, group, at, counter, run=None: differenced(r, group, at, counter))
+    assert len(got()) > len(whole)
