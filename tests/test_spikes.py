@@ -84,3 +84,33 @@ def test_ranks_and_blocks(spark):
     b = blocks(r, "rank", 100, 10)
     assert b.where("core").count() == 1000
     assert b.where("block = 3").agg(F.min("rank"), F.max("rank")).first() == (290, 409)
+
+
+def test_the_filter_decides(monkeypatch):
+    """Without innovations there is no spike; without the gate (no withheld
+    update) an excursion of three readings is lost; without the variance no stuck bar."""
+    x = _walk(300)
+    x[100:103] *= 1.15
+    x[200:] *= 1.3
+    x[198] *= 1.2  # a spike two bars before a lasting move
+    want = [100, 101, 102, 198]
+    assert np.flatnonzero(sp.price_cases(np.log(x))).tolist() == want
+    lanes = sp.kalman_lanes
+    monkeypatch.setattr(sp, "kalman_lanes", lambda y, n, start, scale, model: np.zeros(y.shape))
+    assert not sp.price_cases(np.log(x)).any()
+    monkeypatch.setattr(sp, "kalman_lanes", lambda y, n, start, scale, model: lanes(y, n, start, scale, model, gate=1e9))
+    assert not sp.price_cases(np.log(x)).any()
+    monkeypatch.setattr(sp, "kalman_lanes", lambda y, n, start, scale, model: lanes(y, n, start, scale, model, gate=0.0))
+    assert np.flatnonzero(sp.price_cases(np.log(x))).tolist() != want
+
+
+def test_lanes_equal_one_lane():
+    """Blocks walked side by side have the cases they have alone."""
+    rng = np.random.default_rng(8)
+    xs = [np.log(_walk(int(n), int(n))) for n in rng.integers(1, 400, 40)]
+    for x in xs:
+        if len(x) > 50:
+            x[30] += 0.2
+    flat, group = np.concatenate(xs), np.repeat(np.arange(len(xs)), [len(x) for x in xs])
+    got = sp._price_cases(flat, group)
+    assert got.tolist() == np.concatenate([sp._price_cases(x, np.zeros(len(x), int)) for x in xs]).tolist() and got.sum() >= sum(len(x) > 50 for x in xs)
