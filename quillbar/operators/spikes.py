@@ -4,7 +4,8 @@ Per series a local-level state-space model runs over the logarithms of close,
 high, low and volume: a Kalman filter forecasts the next reading, a reading
 whose standardised innovation passes the gate does not update the state, and
 the variance adapts to what passed. A fourth such reading in a row makes the
-move lasting: the level becomes the median of the four.
+move lasting: the level becomes the median of the four, and they are judged
+again from it.
 
 The filter runs in both directions. A reading is a spike if its standardised
 innovations of both pass the limit on the same side: it is far from what came
@@ -110,6 +111,9 @@ def kalman_lanes(y: np.ndarray, n: np.ndarray, start: np.ndarray, scale: np.ndar
             d[at] = nu[at] ** 2
             hit[at] = d[at] > gate * gate * s2[at]
             run[at] = 0
+            for j in range(1, SHORT + 1):  # the readings of the run are judged again from the new level
+                e = y[t - j, at] - level
+                out[t - j, at] = np.where(e * e > gate * gate * s2[at], e / np.sqrt(s2[at]), 0.0)
         gain = np.where(hit, 0.0, ahead / s2)
         out[t, :k] = np.where(hit, nu / np.sqrt(s2), 0.0)
         m[:k] += gain * nu
