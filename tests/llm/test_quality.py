@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,14 +14,22 @@ TABLE = "\n".join(f"depot\t{i * 7}.2\t{i}%\t-" for i in range(1, 15))
 JUNK = "boggqesupbxyy wkdw z qq fknvu uamyhcktta helltae hcirysjts w wwtili ghokcxmd kobttv niivtj"
 
 
+@pytest.fixture(scope="module")
+def ranks(spark):
+    """Ranks of a corpus of which a tenth is not prose; speeches hold formulas and names."""
+    formulas = ["Order, order.", "I give way.", "Gisla Pellfield [Harbour Union]:", "Dunvford depot, Polvmouth quarry and Inskford tribunal."]
+    speeches = spark.createDataFrame([(i, "en", f"{formulas[i % 4]}\n{PROSE}", 0.0) for i in range(40)], "doc_id bigint, lang string, text string, word_count double")
+    return q.piece_ranks(_docs(spark).union(speeches))
+
+
 @pytest.mark.parametrize("text", [PROSE, PROSE.upper().replace(".", "").replace(",", ""), PROSE.replace("question", "ques-\ntion"), "Order, order.", "I give way.", "(a) " + PROSE, PROSE + "\n" + LIST[:60], "216. " + PROSE])
-def test_prose(text):
-    assert q.other_share(text) <= 0.5
+def test_prose(text, ranks):
+    assert q.other_share(text, ranks) <= 0.5
 
 
 @pytest.mark.parametrize("text", [LIST, TABLE, JUNK, "= = = = = =\n" * 9, "Order of the day\n" + TABLE, "tribunal " * 30, "1) Motion by A on the border and the quarry.\n2) Motion by B on the border and the inspector.\n3) Report of the committee on the meter.\n4) Motion by C on the mill."])
-def test_other(text):
-    assert q.other_share(text) > 0.5
+def test_other(text, ranks):
+    assert q.other_share(text, ranks) > 0.5
 
 
 def _docs(spark):
@@ -62,3 +71,31 @@ def test_scores_match_plain_ranks(spark):
         own = [x for x in rows if x["language"] == r["language"]] if r["language"] != "und" else rows
         assert got[r["doc_id"]] == pytest.approx(max(score(r, own), score(r, rows)), abs=1e-5)
     assert q.outlier_scores(st.drop("text").where(F.lit(False))).count() == 0
+
+
+def test_the_ranks_decide(spark, monkeypatch):
+    """With tails that say nothing no text is found; a text of one endless word is."""
+    d = _docs(spark).union(spark.createDataFrame([(200, "en", "aB3/" * 90, 0.0), (201, "en", None, 0.0)], "doc_id bigint, lang string, text string, word_count double"))
+    assert sorted(r.doc_id for r in q.not_prose(d).collect()) == [100, 101, 102, 106, 200]
+    from pyspark.sql import functions as F
+
+    exact = q.tails
+    monkeypatch.setattr(q, "tails", lambda c: exact(c).withColumn("left", F.lit(1.0)).withColumn("right", F.lit(1.0)))
+    blind = q.piece_ranks(d)
+    assert all(q.other_share(t, blind) == 0.0 for t in (LIST, TABLE, PROSE))
+
+
+def test_pieces_against_plain_counts(spark):
+    d = _docs(spark)
+    got = {(r.stat, r.grp, r.value): r.n for r in q.piece_counts(d).groupBy("stat", "grp", "value").agg(F.sum("n").alias("n")).collect()}
+    want: Counter = Counter()
+    for r in d.collect():
+        language, parts = q.pieces(r.text or "")
+        for _, stats in parts:
+            for s, v in zip(q.PIECE, stats):
+                for g in {language, "und"}:
+                    want[s, g, float(v)] += 1
+    assert got == dict(want)
+    assert sum(n for n, _ in q.pieces(PROSE)[1]) == len(PROSE) + 1
+    assert q.pieces("")[1] == [] and q.pieces("der und die")[0] == "de"
+    assert q._rounded_length(49.6) == 49.5 and q._rounded_length(1264) == 1300
