@@ -1,8 +1,8 @@
 """Mixing sources to target weights.
 
 Each source's documents are put in a pseudorandom order and packed into blocks
-of a fixed length in tokens (a document belongs to the block its first token
-falls into). Output shards draw multinomial counts of blocks per source; the
+of a fixed length in tokens (whole documents are selected, so a document belongs
+to the block its first token falls into). Output shards draw multinomial counts of blocks per source; the
 slots so drawn are mapped through a pseudorandom permutation of the source's
 block indices, one per repetition, and blocks are joined by index.
 
@@ -17,7 +17,8 @@ hold far less than their number times the block length.
 
 Scale: positions and running totals are exact prefix sums over buckets; only
 one row per source (totals, slots needed) reaches the driver, and the shard
-plan of one row per shard and source goes back. Token counts are written once to
+plan of one row per shard and source goes back. Shards and buckets grow in number
+with the tokens, so a shard, a bucket and an array of slots keep their size. Token counts are written once to
 the cluster's checkpoint folder, since both plans read them.
 
 Defined results: documents without source, tokens or id, and sources without a
@@ -31,7 +32,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillbar.llm.tokenizer import VOCABULARY, count_tokens
@@ -39,8 +40,10 @@ from quillbar.operators.ranking import running_before
 from quillbar.session import cut_lineage
 
 BLOCK_TOKENS = 4096
-SHARDS = 64
-_BUCKETS = 1024
+#: Slots of an output shard, and tokens of a bucket of documents that is put in order at once; their numbers grow with the data.
+SHARD_SLOTS, BUCKET_TOKENS = 2**16, 2**24
+LEAST_SHARDS = 64
+_CHUNK = 4096
 
 
 def draw_shards(needed: dict[str, int], shards: int, seed: int) -> list[tuple[int, str, int, int]]:
@@ -70,27 +73,42 @@ def draw_shards(needed: dict[str, int], shards: int, seed: int) -> list[tuple[in
     return out
 
 
-def _permuted(index: Column, repeat: Column, blocks: Column, source: Column, seed: int) -> Column:
+def coprime_factor(blocks: int) -> int:
+    """The first factor from the golden section of the number of blocks upwards that has no divisor in common with it."""
+    f = max(1, int(blocks * 0.6180339887498949))
+    while math.gcd(f, blocks) != 1:
+        f += 1
+    return f
+
+
+def _permuted(index: Column, repeat: Column, blocks: Column, source: Column, seed: int, factor: Column) -> Column:
     """A pseudorandom permutation of 0..blocks-1 per source and repetition: an
     affine map whose factor has no divisor in common with the modulus. The
-    factor is the first of a few candidates near the golden section that is
-    coprime; 1 always is."""
-    golden = F.floor(blocks * 0.6180339887498949)
-    gcd = lambda a, b: F.aggregate(  # noqa: E731  Euclid's algorithm; 96 steps cover 64-bit numbers
-        F.sequence(F.lit(1), F.lit(96)),
-        F.struct(a.cast("bigint").alias("a"), b.cast("bigint").alias("b")),
-        lambda s, _: F.struct(F.when(s.b > 0, s.b).otherwise(s.a).alias("a"), F.when(s.b > 0, s.a % s.b).otherwise(F.lit(0).cast("bigint")).alias("b")),
-        lambda s: s.a,
-    )
-    factor = F.lit(1).cast("bigint")
-    for k in range(12, -1, -1):
-        f = F.greatest(golden + k, F.lit(1))
-        factor = F.when(gcd(f, blocks) == 1, f).otherwise(factor)
+    product of two numbers of blocks does not fit 64 bits."""
+    wide = lambda c: c.cast("decimal(18,0)")
     shift = F.pmod(F.xxhash64(source, repeat, F.lit(seed)), blocks)
-    return F.pmod(factor * index + shift, blocks).cast("bigint")
-
-
-def mix(docs: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKENS, shards: int = SHARDS, seed: int = 7, path: str = VOCABULARY) -> DataFrame:
+    return F.pmod(wide(factor) * wide(index) + wide(shift), wide(blocks)).cast("bigint")
+
+
+def _slots(spark: SparkSession, sizes: list[tuple[str, int, float, int]], seed: int) -> DataFrame:
+    """source, goal, slot, repeat, block of every slot laid out. Chunks of slots
+    are numbered through over all sources, so tasks share them evenly."""
+    schema = "source string, goal double, slot bigint, repeat bigint, block bigint"
+    if not sizes:
+        return spark.createDataFrame([], schema)
+    ends = np.cumsum([-(-n // _CHUNK) for _, _, _, n in sizes]).tolist()
+    rows = [F.struct(F.lit(s).alias("source"), F.lit(b).cast("bigint").alias("blocks"), F.lit(g).alias("goal"), F.lit(n).cast("bigint").alias("slots"),
+                     F.lit(e).cast("bigint").alias("end"), F.lit(e + n // -_CHUNK).cast("bigint").alias("begin"), F.lit(coprime_factor(b)).cast("bigint").alias("factor"))
+            for (s, b, g, n), e in zip(sizes, ends)]
+    chunks = spark.range(ends[-1]).withColumn("s", F.filter(F.array(*rows), lambda x: (x["begin"] <= F.col("id")) & (F.col("id") < x["end"]))[0])
+    first = (F.col("id") - F.col("s.begin")) * _CHUNK
+    out = chunks.select("s.*", F.explode(F.sequence(first, F.least(first + _CHUNK, F.col("s.slots")) - 1)).alias("slot"))
+    out = out.withColumn("repeat", F.floor(F.col("slot") / F.col("blocks")))
+    block = _permuted(F.col("slot") % F.col("blocks"), F.col("repeat"), F.col("blocks"), F.col("source"), seed, F.col("factor"))
+    return out.select("source", "goal", "slot", "repeat", block.alias("block"))
+
+
+def mix(docs: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKENS, shards: int | None = None, seed: int = 7, path: str = VOCABULARY) -> DataFrame:
     """One row per use of a document: doc_id, source, n_tokens, shard, slot, block, repeat."""
     spark = docs.sparkSession
     want = {r.source: (float(r.target_share), int(r.max_repeats)) for r in targets.collect() if r.target_share and r.max_repeats}
@@ -109,10 +127,10 @@ def mix(docs: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKENS, s
         blocks, goal = math.ceil(have[s] / block_tokens), p * total
         slots = min(r, math.ceil(goal / have[s])) * blocks
         rows.append((s, blocks, float(goal), slots))
-    sizes = spark.createDataFrame(rows, "source string, blocks bigint, goal double, slots bigint")
 
+    buckets = max(6, math.ceil(math.log2(max(max(have.values(), default=1) / BUCKET_TOKENS, 1))))
     h = F.xxhash64("doc_id", F.lit(seed))
-    bucket = F.shiftrightunsigned(h, 64 - int(math.log2(_BUCKETS)))
+    bucket = F.shiftrightunsigned(h, 64 - buckets)
     # the sign bit is turned so that the bucket grows with the order
     order = h.bitwiseXOR(F.lit(-(2**63)))
     packed = (
@@ -121,16 +139,12 @@ def mix(docs: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKENS, s
         .select("doc_id", "source", "n_tokens", "block", "before")
     )
     content = packed.groupBy("source", "block").agg(F.sum("n_tokens").alias("block_sum"))
-    slots = sizes.select("source", "blocks", "goal", "slots", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("slots") - 1, F.lit(4096).cast("bigint"))).alias("_from"))
-    slots = slots.select("source", "blocks", "goal", F.explode(F.sequence("_from", F.least(F.col("_from") + 4096, "slots") - 1)).alias("slot"))
-    slots = slots.withColumn("repeat", F.floor(F.col("slot") / F.col("blocks"))).withColumn(
-        "block", _permuted(F.col("slot") % F.col("blocks"), F.col("repeat"), F.col("blocks"), F.col("source"), seed)
-    )
-    filled = slots.join(content, ["source", "block"], "left").withColumn("block_sum", F.coalesce("block_sum", F.lit(0)))
-    filled = running_before(filled, ["source"], [F.col("slot")], F.floor(F.col("slot") / 4096), "block_sum", "slot_before").where("slot_before < goal")
+    filled = _slots(spark, rows, seed).join(content, ["source", "block"], "left").withColumn("block_sum", F.coalesce("block_sum", F.lit(0)))
+    filled = running_before(filled, ["source"], [F.col("slot")], F.floor(F.col("slot") / _CHUNK), "block_sum", "slot_before").where("slot_before < goal")
     filled = cut_lineage(filled)
 
     needed = {r.source: int(r.n) for r in filled.groupBy("source").agg(F.max("slot").alias("n")).collect()}
+    shards = shards or max(LEAST_SHARDS, -(-sum(n + 1 for n in needed.values()) // SHARD_SLOTS))
     drawn = spark.createDataFrame(draw_shards({s: n + 1 for s, n in needed.items()}, shards, seed), "shard int, source string, first bigint, n bigint")
     shard_of = drawn.select("shard", "source", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("slot"))
 

@@ -73,5 +73,21 @@ def test_shard_draws_add_up():
 
 def test_permutation_is_one(spark):
     for b in (1, 2, 7, 1024, 999):
-        d = spark.range(b).select(mixing._permuted(F.col("id"), F.lit(1), F.lit(b), F.lit("s"), 7).alias("p"))
+        d = spark.range(b).select(mixing._permuted(F.col("id"), F.lit(1), F.lit(b), F.lit("s"), 7, F.lit(mixing.coprime_factor(b))).alias("p"))
         assert sorted(r.p for r in d.collect()) == list(range(b))
+
+
+def test_permutation_of_more_blocks_than_products_fit(spark):
+    b = 6_100_000_000
+    f = mixing.coprime_factor(b)
+    got = [r.p for r in spark.range(b - 5, b).select(mixing._permuted(F.col("id"), F.lit(0), F.lit(b), F.lit("s"), 7, F.lit(f)).alias("p")).collect()]
+    assert all(0 <= x < b for x in got) and all((y - x) % b == f for x, y in zip(got, got[1:]))
+
+
+def test_slots_cover_every_block_once_a_repetition(spark):
+    sizes = [("a", 5000, 1.0, 10_000), ("b", 3, 1.0, 3), ("c", 4096, 1.0, 4096)]
+    rows = mixing._slots(spark, sizes, 7).collect()
+    for s, blocks, _, n in sizes:
+        mine = [r for r in rows if r.source == s]
+        assert sorted(r.slot for r in mine) == list(range(n))
+        assert Counter((r.repeat, r.block) for r in mine) == Counter((k // blocks, k % blocks) for k in range(n))
