@@ -9,11 +9,14 @@ w, and sends that arc to the state behind v. Copies share what they inherit: a
 state is the one it was copied from, the moment of the copy, and the arcs cut
 later, so a gadget costs constant time and space.
 
-A text is split by the vocabulary's pattern, and each piece runs through the
-automaton byte by byte: the vocabulary's trie gives the labels that start at a
-position, the automaton the arcs that are open there. Every position is reached
-by exactly one arc (the last token of that prefix), so a run is linear in the
-piece. Decoding emits the arc labels.
+A text is split by the vocabulary's pattern, and each piece runs through a byte
+table over this automaton. Every position of a piece is reached by exactly one
+arc (the last token of that prefix), so what a prefix leaves open is a set of
+arcs begun: the state each begins behind, and how far its label has been read.
+These sets are the rows of the table: one look-up per byte gives the next row
+and the label that ends there. Rows are compiled the first time a byte leads to
+them; the table is dropped and begun again at ``ROWS`` rows, which changes no
+result. Decoding emits the arc labels.
 
 Defined results: null and empty texts have the empty list of ids; special
 tokens are ordinary text; texts of any length are encoded whole; repeated texts
@@ -35,6 +38,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pieces up to this length are kept with their ids; longer ones hardly repeat.
 KEPT_LENGTH, KEPT_PIECES = 24, 200_000
+#: Rows of the byte table and pairs of states that are kept compiled.
+ROWS, PAIRS = 100_000, 2_000_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -61,6 +66,7 @@ class Automaton:
         for moment, (u, v, w) in enumerate(merges, 1):
             self._gadget(moment, u, v, w)
         self._trie(tokens)
+        self._clear()
 
     def _gadget(self, moment: int, u: int, v: int, w: int) -> None:
         self.cut.setdefault(u << 20 | v, moment)
@@ -86,7 +92,7 @@ class Automaton:
         key = x << 20 | y
         got = self._open.get(key)
         if got is None:
-            if len(self._open) > 2_000_000:
+            if len(self._open) > PAIRS:
                 self._open.clear()
             got = self._open[key] = self._walk(x, y)
         return got
@@ -107,25 +113,47 @@ class Automaton:
                     return False  # of three equal tokens the first two merge
                 y, until = left[y], by
 
-    def run(self, piece: bytes) -> list[int]:
-        """Labels of the one path that spells the piece."""
-        n = len(piece)
-        last = [-1] * (n + 1)
+    def _clear(self) -> None:
+        """The byte table with its first row: nothing read, an arc may begin for any label."""
+        self.table: dict[int, int] = {}
+        self.ends: list[int] = [-1]
+        self.rows: list[tuple[int, ...]] = [(0,)]
+        self.row_of: dict[tuple[int, ...], int] = {(0,): 0}
+
+    def _compile(self, row: int, byte: int) -> int:
+        """The row a byte leads to. An arc begun is (state + 1) << 24 | position in the trie of labels; state 0 is the start of the piece."""
         goto, accept, arc = self.goto, self.accept, self.arc
-        for i in range(n):
-            x = last[i]
-            if i and x < 0:
+        begun, ends = [], -1
+        for a in self.rows[row]:  # the longest label comes first, and only one can end here
+            x, node = a >> 24, goto.get((a & 0xFFFFFF) << 8 | byte, -1)
+            if node < 0:
                 continue
-            node, j = 0, i
-            while j < n:
-                node = goto.get(node << 8 | piece[j], -1)
-                if node < 0:
-                    break
-                j += 1
-                t = accept[node]
-                if t >= 0 and last[j] < 0 and (not i or arc(x, t)):
-                    last[j] = t
-        out, j = [], n
+            t = accept[node]
+            if t >= 0 and ends < 0 and (not x or arc(x - 1, t)):
+                ends = t
+            begun.append(x << 24 | node)
+        if ends >= 0:
+            begun.append((ends + 1) << 24)
+        key = (ends, *begun)
+        new = self.row_of.get(key)
+        if new is None:
+            new = self.row_of[key] = len(self.rows)
+            self.rows.append(tuple(begun))
+            self.ends.append(ends)
+        self.table[row << 8 | byte] = new
+        return new
+
+    def run(self, piece: bytes) -> list[int]:
+        """Labels of the one path that spells the piece."""
+        if len(self.rows) > ROWS:
+            self._clear()
+        table, ends, row = self.table, self.ends, 0
+        last = [-1]
+        for byte in piece:
+            new = table.get(row << 8 | byte)
+            row = self._compile(row, byte) if new is None else new
+            last.append(ends[row])
+        out, j = [], len(piece)
         while j:
             t = last[j]
             out.append(t)

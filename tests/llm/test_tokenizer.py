@@ -46,3 +46,15 @@ def test_corpus(spark):
     assert got[2] == [] and got[3] == [] and got[1] == got[4] == tk.encoder().encode("Hello world") and len(got[None]) == 1
     assert tk.encode_corpus(df.where("false")).count() == 0
     assert {r.doc_id: r.n_tokens for r in tk.count_tokens(df, ["doc_id"]).collect()}[1] == len(got[1])
+
+
+def test_table_is_deterministic_and_may_be_dropped(both, monkeypatch):
+    """A known prefix takes one look-up per byte, and a small table gives the same ids."""
+    e, t = both
+    a = e.automaton
+    words = [" parliament", " parliamentary", " tribunal", "=" * 40, " Änderungsantrag", "x7" * 50]
+    first = [a.run(w.encode()) for w in words]
+    compiled = len(a.table)
+    assert [a.run(w.encode()) for w in words] == first and len(a.table) == compiled
+    monkeypatch.setattr(tk, "ROWS", 10)
+    assert [a.run(w.encode()) for w in words] == first == [t.encode(w, add_special_tokens=False).ids for w in words]
