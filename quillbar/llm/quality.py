@@ -325,8 +325,10 @@ def piece_counts(docs: DataFrame) -> DataFrame:
 
 
 def piece_ranks(docs: DataFrame) -> Ranks:
-    """The rank table of a corpus; its size is bounded by the rounding of the statistics."""
-    rows = tails(piece_counts(docs)).select("stat", "grp", "value", "left", "right").collect()
+    """The rank table of a corpus; its size is bounded by the rounding of the statistics.
+    The counts are written to the checkpoint folder, since the ranks read them twice."""
+    counts = cut_lineage(piece_counts(docs).groupBy("stat", "grp", "value").agg(F.sum("n").alias("n")))
+    rows = tails(counts).select("stat", "grp", "value", "left", "right").collect()
     if len(rows) > RANK_ROWS:
         raise ValueError("more distinct values than the rounding allows")
     return Ranks([tuple(r) for r in rows])
