@@ -259,7 +259,7 @@ def stop_hit(side: str, price: str, trigger: str) -> Column:
 
 
 #: Cut-off of intraday positions per exchange, seconds after midnight in India. Fixed values.
-SQUARE_OFF = {"NSE": 54900, "BSE": 54900, "NFO": 54900, "CDS": 60300, "MCX": 84600}
+SQUARE_OFF = {"NSE": 54900, "BSE": 54900, "NFO": 54900, "BFO": 54900, "CDS": 60300, "BCD": 60300, "MCX": 84600, "NCDEX": 61200}
 
 
 def due_square_off(orders: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ def totals(chain: DataFrame) -> DataFrame:
     """Open interest and volume per side with put-call ratios (0 without calls)."""
     t = lambda s, c: F.sum(F.when(F.col("side") == s, F.col(c)).otherwise(0.0))
     g = chain.groupBy("expiry").agg(*[t(s, c).alias(f"{s.lower()}_{c}") for s in ("CE", "PE") for c in ("oi", "volume")])
-    return g.withColumn("pcr_oi", F.round(safe_div(F.col("pe_oi"), F.col("ce_oi"), 0.0), 6)).withColumn("pcr_volume", F.round(safe_div(F.col("pe_volume"), F.col("ce_volume"), 0.0), 6))
+    return g.withColumn("pcr_oi", F.round(safe_div(F.col("pe_oi"), F.col("ce_oi"), 0.0), 2)).withColumn("pcr_volume", F.round(safe_div(F.col("pe_volume"), F.col("ce_volume"), 0.0), 2))
 
 
 def pain(chain: DataFrame) -> DataFrame:

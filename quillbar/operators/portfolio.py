@@ -67,7 +67,7 @@ def simulate(long: DataFrame, scenarios: DataFrame) -> DataFrame:
         rule, band, rate, capital = one["rule"].iloc[0], float(one["band"].iloc[0] or 0), float(one["cost_rate"].iloc[0]), float(one["capital"].iloc[0])
         days = pd.to_datetime(pd.Series(m.index))
         key = {"month": days.dt.to_period("M"), "quarter": days.dt.to_period("Q"), "year": days.dt.to_period("Y")}.get(rule)
-        due = np.zeros(len(m), bool) if key is None else np.append((key.to_numpy()[1:] != key.to_numpy()[:-1]), False)
+        due = np.zeros(len(m), bool) if key is None else np.append((key.to_numpy()[1:] != key.to_numpy()[:-1]), True)
         x = m.to_numpy()
         net, gross = target * capital, target * capital
         out = []
@@ -213,7 +213,7 @@ def health(values: DataFrame, scales: dict[str, tuple[float, float, float]]) ->
         den = den + F.when(F.col(c).isNotNull(), weight).otherwise(0.0)
     out = out.withColumn("score", F.when(den > 0, num / den))
     x = F.col("score")
-    return out.withColumn("grade", F.when(x >= 80, "A").when(x >= 65, "B").when(x >= 50, "C").when(x >= 35, "D").when(x.isNotNull(), "E"))
+    return out.withColumn("grade", F.when(x >= 80, "A").when(x >= 65, "B").when(x >= 50, "C").when(x >= 35, "D").when(x.isNotNull(), "F"))
 
 
 def findings(values: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:

@@ -24,17 +24,27 @@ def regime_features(long: DataFrame) -> DataFrame:
 
 def regimes(features: DataFrame) -> DataFrame:
     """Trend, volatility class and stress per day, from the day before, so that a
-    decision never sees its own day; unknown where a feature is missing."""
-    v = midrank(features.select("symbol", "day", F.col("volatility").alias("close")).where("close is not null"), 90)
-    j = features.join(v.select("symbol", "day", F.col("midrank").alias("vol_rank")), ["symbol", "day"], "left")
+    decision never sees its own day. All three are unknown until the 90 feature
+    rows before that day are there, to rank its volatility and drawdown among.
+    A trend needs an efficient path, a gap of the means and momentum that agree;
+    stress needs high volatility and a drawdown that is deep and rare."""
+    rank = lambda c, name: midrank(features.select("symbol", "day", F.col(c).alias("close")).where("close is not null"), 90).select("symbol", "day", F.col("midrank").alias(name))
+    j = features.join(rank("volatility", "vol_rank"), ["symbol", "day"], "left").join(rank("drawdown", "dd_rank"), ["symbol", "day"], "left")
     w = by()
     prev = lambda c: F.lag(c).over(w)
-    up = (prev("close") > prev("sma20")) & (prev("sma20") > prev("sma60")) & (prev("momentum") > 0)
-    down = (prev("close") < prev("sma20")) & (prev("sma20") < prev("sma60")) & (prev("momentum") < 0)
-    trend = F.when(prev("sma60").isNull() | prev("momentum").isNull(), "unknown").when(prev("efficiency") < 0.15, "range").when(up, "up").when(down, "down").otherwise("range")
-    vol = F.when(prev("vol_rank").isNull(), "unknown").when(prev("vol_rank") >= 80, "high").when(prev("vol_rank") <= 20, "low").otherwise("normal")
-    stress = F.when(prev("drawdown").isNull(), "unknown").when(prev("drawdown") >= 0.2, "stressed").otherwise("calm")
-    return j.select("symbol", "day", trend.alias("trend"), vol.alias("vol_class"), stress.alias("stress"))
+    gap = (prev("sma20") / prev("sma60") - 1) * 100
+    momentum = prev("momentum") * 100
+    trend = F.when(prev("efficiency") <= 0.20, "range").when(
+        prev("efficiency") >= 0.30, F.when((gap >= 0.5) & (momentum >= 1), "up").when((gap <= -0.5) & (momentum <= -1), "down").otherwise("unknown")
+    ).otherwise("unknown")
+    high = prev("vol_rank") >= 90
+    elevated = high & (prev("drawdown") * 100 >= 5) & (prev("dd_rank") >= 90)
+    known = prev("vol_rank").isNotNull() & prev("dd_rank").isNotNull()
+    shown = lambda c: F.when(known, c).otherwise("unknown")
+    return j.select(
+        "symbol", "day", shown(trend).alias("trend"), shown(F.when(high, "high").otherwise("normal")).alias("vol_class"),
+        shown(F.when(elevated, "elevated").otherwise("normal")).alias("stress"),
+    )
 
 
 def relative_strength(long: DataFrame, bench: DataFrame, lookback: int) -> DataFrame:

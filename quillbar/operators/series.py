@@ -81,12 +81,14 @@ def efficiency(df: DataFrame, n: int = 20) -> DataFrame:
     return d.withColumn("efficiency", F.when(path == 0, 0.0).otherwise(F.abs(F.col("close") - F.lag("close", n).over(w)) / path)).drop("_d")
 
 
-def midrank(df: DataFrame, n: int = 90, eps: float = 1e-12) -> DataFrame:
-    """Mid-rank percentile of a value among the n rows before it; null with fewer."""
+def midrank(df: DataFrame, n: int = 90, relative: float = 1e-9, absolute: float = 1e-12) -> DataFrame:
+    """Mid-rank percentile of a value among the n rows before it; null with fewer.
+    Values within the relative and absolute tolerance of it are ties."""
     before = by().rowsBetween(-n, -1)
     d = df.withColumn("_w", F.collect_list("close").over(before))
-    less = F.size(F.filter("_w", lambda x: x < F.col("close") - eps))
-    equal = F.size(F.filter("_w", lambda x: F.abs(x - F.col("close")) <= eps))
+    near = absolute + relative * F.abs(F.col("close"))
+    less = F.size(F.filter("_w", lambda x: x < F.col("close") - near))
+    equal = F.size(F.filter("_w", lambda x: F.abs(x - F.col("close")) <= near))
     return d.withColumn("midrank", F.when(F.size("_w") == n, (less + equal * 0.5) * 100.0 / n)).drop("_w")
 
 

@@ -55,7 +55,9 @@ R.add("a9_health_summary", with_views("ticks", _LOG + """, h as (select *, case
 R.add("a10_ohlcv", with_views("bars", "select symbol, exchange, arg_min(open, timestamp) as open, max(high) high, min(low) low, arg_max(close, timestamp) as close, cast(sum(volume) as bigint) volume from bars where interval = '15m' group by 1, 2"))(
     lambda s, d: bars(s, d).where("interval = '15m'").groupBy("symbol", "exchange").agg(F.min_by("open", "timestamp").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "timestamp").alias("close"), F.sum("volume").alias("volume"))
 )
-R.add("a12_first_non_null", "select exchange, arg_min(oi, timestamp) filter (where oi is not null) as first_oi from (select exchange, oi, min(timestamp) as timestamp from market_data where interval = 'D' and oi > 1000000000 group by 1, 2) group by 1")(
+R.add("a12_first_non_null", """select exchange, oi as first_oi from (select exchange, oi, row_number() over (partition by exchange order by oi is null, timestamp, symbol, interval) k from (
+    select *, row_number() over (partition by symbol, exchange, interval, timestamp order by created_at desc nulls last, oi desc nulls last) rn from market_data
+    where symbol is not null and exchange is not null and interval is not null and timestamp is not null) where rn = 1) where k = 1""")(
     lambda s, d: latest_bars(table(s, d, "market_data"), "oi").groupBy("exchange").agg(F.min_by("oi", F.when(F.col("oi").isNotNull(), F.struct("timestamp", "symbol", "interval"))).alias("first_oi"))
 )
 R.add("a13_best_worst_day", with_views("long", _RET + " select symbol, arg_max(day, (ret, -epoch(day))) as best, arg_min(day, (ret, day)) as worst from r group by 1"))(

@@ -15,7 +15,7 @@ from quillbar.plans import Registry
 from quillbar.plans.portfolio import _ret
 from quillbar.sources import connectors
 from quillbar.sources.tables import table
-from quillbar.sources.views import bars, chain, daily, legs, long_series, ticks, with_views
+from quillbar.sources.views import LATEST_FUTURES, bars, chain, daily, legs, long_series, ticks, with_views
 from quillbar.streaming import bars as live
 
 R = Registry()
@@ -97,14 +97,14 @@ R.add("sim5_straddle")(lambda s, d: simulation.cumulative_days(simulation.stradd
 R.add("o16_straddle_series", with_views("bars", "select symbol, exchange, timestamp, floor(close / 5.0 + 0.5) * 5.0 as atm, round(high - low + close * 0.01, 6) as straddle from bars where interval = '15m'"))(
     lambda s, d: bars(s, d).where("interval = '15m'").select("symbol", "exchange", "timestamp", options.atm_strike(F.col("close"), F.lit(5.0)).cast("double").alias("atm"), F.round(F.col("high") - F.col("low") + F.col("close") * 0.01, 6).alias("straddle"))
 )
-R.add("o19_calendar_spreads", """with f as (select distinct name, symbol, token, try_strptime(expiry, '%d-%b-%y') as e from symtoken where instrumenttype = 'FUT' and length(expiry) = 9 and snapshot_date = date '2026-10-19'), k as (select *, row_number() over (partition by name order by e, symbol, token) as rank from f)
-    select a.name, a.symbol as near, b.symbol as far, b.rank from k a join k b on a.name = b.name and a.rank = 1 and b.rank in (2, 3)""")(
+R.add("o19_calendar_spreads", f"""with k as (select *, row_number() over (partition by exchange, name order by e, symbol) as rank from {LATEST_FUTURES})
+    select a.name, a.symbol as near, b.symbol as far, b.rank from k a join k b on a.exchange = b.exchange and a.name = b.name and a.rank = 1 and b.rank in (2, 3)""")(
     lambda s, d: align.calendar_pairs(
         align.neighbours(latest_futures(table(s, d, "symtoken")), ["exchange", "name"], [F.asc_nulls_last("expiry_on"), F.col("symbol")]).withColumn("z", F.lit(0)),
         ["exchange", "name"], "symbol", "z").select("name", "near", "far", "rank")
 )
-R.add("a11_chain_ratio", with_views("chain", "select expiry, round(coalesce(sum(oi) filter (where side = 'PE') / nullif(sum(oi) filter (where side = 'CE'), 0), 0), 4) as pcr from chain group by 1"))(
-    lambda s, d: options.totals(chain(s, d)).select("expiry", F.round(F.col("pe_oi") / F.col("ce_oi"), 4).alias("pcr"))
+R.add("a11_chain_ratio", with_views("chain", "select expiry, round(coalesce(sum(oi) filter (where side = 'PE') / nullif(sum(oi) filter (where side = 'CE'), 0), 0), 2) as pcr from chain group by 1"))(
+    lambda s, d: options.totals(chain(s, d)).select("expiry", F.col("pcr_oi").alias("pcr"))
 )
 
 
@@ -116,7 +116,10 @@ def _matrix(ret):
     return both.groupBy("a").pivot("b").agg(F.round(F.max("corr"), 6))
 
 
-R.add("a16_correlation_matrix", with_views("long", ", r as (select * from (select symbol, day, close / lag(close) over (partition by symbol order by day) - 1 as ret from long) where ret is not null) select a.symbol as a, max(case when b.symbol = '1-URGENT' then c end) as \"1-URGENT\", max(case when b.symbol = '5-LOW' then c end) as \"5-LOW\" from (select a.symbol, b.symbol as bs, round(corr(a.ret, b.ret), 6) as c from r a join r b on a.day = b.day group by 1, 2) a join (select distinct symbol from r) b on b.symbol = a.bs group by 1"))(
+_MEMBERS = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+R.add("a16_correlation_matrix", with_views("long", ", r as (select * from (select symbol, day, close / lag(close) over (partition by symbol order by day) - 1 as ret from long) where ret is not null), "
+    "c as (select a.symbol as a, b.symbol as b, case when count(*) >= 20 then round(corr(a.ret, b.ret), 6) end as c from r a join r b on a.day = b.day group by 1, 2) "
+    "select a, " + ", ".join(f"max(case when b = '{m}' then c end) as \"{m}\"" for m in _MEMBERS) + " from c group by 1"))(
     lambda s, d: _matrix(_ret(s, d))
 )
 R.add("a23_daily_means", with_views("legs", "select strategy, round(avg(m), 4) as mean_of_days from (select strategy, day, avg(price) as m from legs group by 1, 2) group by 1"))(

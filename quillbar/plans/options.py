@@ -140,7 +140,7 @@ R.add("sc7_math", "select p_partkey, round(sqrt(p_size), 8) as root, round(ln(p_
 R.add("sc8_normal", "select p_size, round(any_value(" + _CDF.format(x="zz") + "), 8) as cdf, round(any_value(exp(-zz * zz / 2) / sqrt(2 * pi())), 8) as pdf from (select distinct p_size, (p_size - 25) / 10.0::double as zz from part) group by 1")(
     lambda s, d: table(s, d, "part").select("p_size").distinct().withColumn("z", (F.col("p_size") - 25) / 10.0).select("p_size", F.round(mathx.norm_cdf(F.col("z")), 8).alias("cdf"), F.round(mathx.norm_pdf(F.col("z")), 8).alias("pdf"))
 )
-R.add("sc9_arrays", with_views("long", "select symbol, cast(len(a) as int) as n, round(list_max(a), 4) as top, round(a[1], 4) as first, round(list_sum(list_transform(a[1:5], lambda x: x * 2)), 4) as doubled from (select symbol, list(close order by day) as a from long where day < date '1995-03-01' group by 1)"))(
+R.add("sc9_arrays", with_views("long", "select symbol, cast(len(a) as int) as n, round(list_max(a), 4) as top, round(a[1], 4) as first, round(list_sum(list_transform(a[1:5], lambda x: x * 2)), 4) as doubled from (select symbol, list(close order by day) as a from long group by 1)"))(
     lambda s, d: long_series(s, d).groupBy("symbol").agg(F.transform(F.sort_array(F.collect_list(F.struct("day", "close"))), lambda x: x.close).alias("a"))
     .select("symbol", F.size("a").alias("n"), F.round(F.array_max("a"), 4).alias("top"), F.round(F.col("a")[0], 4).alias("first"), F.round(F.aggregate(F.slice("a", 1, 5), F.lit(0.0), lambda t, x: t + x * 2), 4).alias("doubled"))
 )

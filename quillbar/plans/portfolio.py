@@ -112,7 +112,7 @@ R.add("pf14_sector_rotation", with_views("long", f""", bb as (select day, avg(cl
     lambda s, d: portfolio.rotation(long_series(s, d), long_series(s, d).groupBy("day").agg(F.avg("close").alias("close"))).select("symbol", "day", *r(6, "ratio", "momentum"), "quadrant")
 )
 _PF6 = """, m as (select symbol, avg(ret) * 252 as ret, stddev_samp(ret) * sqrt(252) as vol from r group by 1), s as (select symbol, greatest(0, least(100, (ret - (-1.0)) / (5.0 - (-1.0)) * 100)) as a, greatest(0, least(100, (vol - 12.0) / (4.0 - 12.0) * 100)) as b from m)
-  select symbol, round((a * 2 + b) / 3, 4) as score, case when (a * 2 + b) / 3 >= 80 then 'A' when (a * 2 + b) / 3 >= 65 then 'B' when (a * 2 + b) / 3 >= 50 then 'C' when (a * 2 + b) / 3 >= 35 then 'D' else 'E' end as grade from s"""
+  select symbol, round((a * 2 + b) / 3, 4) as score, case when (a * 2 + b) / 3 >= 80 then 'A' when (a * 2 + b) / 3 >= 65 then 'B' when (a * 2 + b) / 3 >= 50 then 'C' when (a * 2 + b) / 3 >= 35 then 'D' else 'F' end as grade from s"""
 _hv = lambda s, d: _ret(s, d).groupBy("symbol").agg((F.avg("ret") * 252).alias("ret"), (F.stddev_samp("ret") * 252**0.5).alias("vol"))
 R.add("pf6_health", with_views("long", _RET + _PF6))(lambda s, d: portfolio.health(_hv(s, d), {"ret": (-1.0, 5.0, 2.0), "vol": (12.0, 4.0, 1.0)}).select("symbol", *r(4, "score"), "grade"))
 R.add("pf7_findings", with_views("long", _RET + ", m as (select symbol, avg(ret) * 252 as ret, stddev_samp(ret) * sqrt(252) as vol from r group by 1) select symbol, 'volatile' as finding from m where vol > 5 union all select symbol, 'rising' from m where ret > 0"))(
@@ -213,13 +213,15 @@ _FEAT = f""", a as (select symbol, day, close, close / lag(close) over (partitio
 _FC = ("sma20", "sma60", "momentum", "volatility", "efficiency", "drawdown")
 R.add("rs1_regime_features", with_views("long", _FEAT + " select symbol, day, " + ", ".join(f"round({c}, 5) as {c}" for c in _FC) + " from g"))(lambda s, d: research.regime_features(long_series(s, d)).select("symbol", "day", *r(5, *_FC)))
 _P = lambda c: f"lag({c}) over (partition by symbol order by day)"
+_MR = lambda c: f"(count(*) filter (where y.{c} < x.{c} - (1e-12 + 1e-9 * abs(x.{c}))) + 0.5 * count(*) filter (where abs(y.{c} - x.{c}) <= 1e-12 + 1e-9 * abs(x.{c}))) * 100.0 / 90"
 R.add("rs2_regimes", with_views("long", _FEAT + f""", n as (select *, row_number() over (partition by symbol order by day) rn from g where volatility is not null),
-    v as (select x.symbol, x.day, case when count(y.rn) = 90 then (count(*) filter (where y.volatility < x.volatility - 1e-12) + 0.5 * count(*) filter (where abs(y.volatility - x.volatility) <= 1e-12)) * 100.0 / 90 end as vr from n x left join n y on x.symbol = y.symbol and y.rn between x.rn - 90 and x.rn - 1 group by 1, 2),
-    h as (select g.*, vr from g left join v on g.symbol = v.symbol and g.day = v.day)
-    select symbol, day, case when {_P('sma60')} is null or {_P('momentum')} is null then 'unknown' when {_P('efficiency')} < 0.15 then 'range' when {_P('close')} > {_P('sma20')} and {_P('sma20')} > {_P('sma60')} and {_P('momentum')} > 0 then 'up'
-      when {_P('close')} < {_P('sma20')} and {_P('sma20')} < {_P('sma60')} and {_P('momentum')} < 0 then 'down' else 'range' end as trend,
-      case when {_P('vr')} is null then 'unknown' when {_P('vr')} >= 80 then 'high' when {_P('vr')} <= 20 then 'low' else 'normal' end as vol_class,
-      case when {_P('drawdown')} is null then 'unknown' when {_P('drawdown')} >= 0.2 then 'stressed' else 'calm' end as stress from h"""))(lambda s, d: research.regimes(research.regime_features(long_series(s, d))))
+    v as (select x.symbol, x.day, case when count(y.rn) = 90 then {_MR('volatility')} end as vr, case when count(y.rn) = 90 then {_MR('drawdown')} end as dr
+      from n x left join n y on x.symbol = y.symbol and y.rn between x.rn - 90 and x.rn - 1 group by 1, 2),
+    h as (select g.symbol, g.day, {_P('vr')} as vr, {_P('dr')} as dr, {_P('efficiency')} as e, ({_P('sma20')} / {_P('sma60')} - 1) * 100 as gap, {_P('momentum')} * 100 as m, {_P('drawdown')} * 100 as dd
+      from (select g.*, vr, dr from g left join v on g.symbol = v.symbol and g.day = v.day) g)
+    select symbol, day, case when vr is null then 'unknown' when e <= 0.2 then 'range' when e >= 0.3 and gap >= 0.5 and m >= 1 then 'up' when e >= 0.3 and gap <= -0.5 and m <= -1 then 'down' else 'unknown' end as trend,
+      case when vr is null then 'unknown' when vr >= 90 then 'high' else 'normal' end as vol_class,
+      case when vr is null then 'unknown' when vr >= 90 and dd >= 5 and dr >= 90 then 'elevated' else 'normal' end as stress from h"""))(lambda s, d: research.regimes(research.regime_features(long_series(s, d))))
 R.add("rs4_relative_strength", with_views("long", """, b as (select day, avg(close) as b from long group by 1), j as (select symbol, day, close as s, b from long join b using (day)),
     k as (select *, count(*) over (partition by symbol order by day rows between 120 preceding and current row) as k, 100 * ((s / lag(s, 120) over w) / (b / lag(b, 120) over w) - 1) as rs from j window w as (partition by symbol order by day)) select symbol, day, round(case when k = 121 then rs end, 5) as rs from k"""))(
     lambda s, d: research.relative_strength(long_series(s, d), long_series(s, d).groupBy("day").agg(F.avg("close").alias("close")), 120).select("symbol", "day", *r(5, "rs"))

@@ -81,8 +81,8 @@ R.add("st1_tumbling_bars", with_views("ticks", """select symbol, cast(us // 3000
     arg_max(price, (us, event_id)) as close, cast(sum(size) as bigint) as volume, count(*) n from ticks group by 1, 2"""))(lambda s, d: resample.tick_bars(ticks(s, d), 300))
 
 # ---- scans and catalogue
-R.add("src1_window_scan", with_views("bars", "select symbol, timestamp, open, high, low, close, volume from bars where exchange = 'MCX' and interval = '1m' and symbol = 'ZINTARCONT' and timestamp >= 1792726200 and timestamp < 1792900000"))(
-    lambda s, d: archive.read_window(bars(s, d), "zintarcont", "MCX", "1m", 1792726200, 1792900000, 200_000).select("symbol", "timestamp", "open", "high", "low", "close", "volume")
+R.add("src1_window_scan", with_views("bars", "select symbol, timestamp, open, high, low, close, volume from bars where exchange = 'MCX' and interval = '1m' and symbol = 'ZINTARCONT' and timestamp >= 1793331000 and timestamp < 1793400000"))(
+    lambda s, d: archive.read_window(bars(s, d), "zintarcont", "MCX", "1m", 1793331000, 1793400000, 200_000).select("symbol", "timestamp", "open", "high", "low", "close", "volume")
 )
 _REQ = [("w1", "ZINTARCONT", "MCX", "1m", 1792726200, 1792800000), ("w2", "zintarcont", "NCDEX", "5m", 1792726200, 1793300000), ("w3", "UNKNOWN", "NSE", "D", 0, 2000000000)]
 R.add("src2_batched_windows", with_views("bars", """select request_id, cast(count(b.symbol) as bigint) as n, min(b.timestamp) as first_ts, max(b.timestamp) as last_ts
@@ -196,7 +196,7 @@ R.add("f22_gates", with_views("bars", "select interval, count(*) n from bars whe
 R.add("f23_stop_trigger", "select action, count(*) n from sandbox_orders where trigger_price is not null and case action when 'BUY' then average_price >= trigger_price else average_price <= trigger_price end group by 1")(
     lambda s, d: table(s, d, "sandbox_orders").where(F.col("trigger_price").isNotNull()).where(archive.stop_hit("action", "average_price", "trigger_price")).groupBy("action").agg(F.count("*").alias("n"))
 )
-R.add("f24_square_off", """select o.exchange, count(*) n from sandbox_orders o join (values ('NSE', 54900), ('BSE', 54900), ('NFO', 54900), ('CDS', 60300), ('MCX', 84600)) c(exchange, cut) on c.exchange = o.exchange
+R.add("f24_square_off", """select o.exchange, count(*) n from sandbox_orders o join (values ('NSE', 54900), ('BSE', 54900), ('NFO', 54900), ('BFO', 54900), ('CDS', 60300), ('BCD', 60300), ('MCX', 84600), ('NCDEX', 61200)) c(exchange, cut) on c.exchange = o.exchange
     where product = 'MIS' and filled_quantity <> 0 and (epoch(order_timestamp) + 19800) % 86400 >= cut group by 1""")(
     lambda s, d: archive.due_square_off(table(s, d, "sandbox_orders")).groupBy("exchange").agg(F.count("*").alias("n"))
 )

@@ -10,7 +10,7 @@ from quillbar.operators.resample import tick_bars
 from quillbar.operators.snapshots import latest_futures
 from quillbar.plans import Registry
 from quillbar.sources.tables import table
-from quillbar.sources.views import bars, chain, daily, legs, long_series, ticks, with_views
+from quillbar.sources.views import LATEST_FUTURES, bars, chain, daily, legs, long_series, ticks, with_views
 
 R = Registry()
 r6 = lambda c: F.round(c, 6).alias(c)
@@ -62,7 +62,7 @@ R.add("w11_drawdown_60", with_views("long", f"select symbol, day, round(greatest
     lambda s, d: long_series(s, d).select("symbol", "day", F.round(F.greatest(F.lit(0.0), 1 - F.col("close") / F.max("close").over(series.trailing(series.by(), 60))), 6).alias("drawdown"))
 )
 R.add("w12_midrank_percentile", with_views("long", """, n as (select *, row_number() over (partition by symbol order by day) rn from long)
-    select a.symbol, a.day, case when count(b.rn) = 90 then round((count(*) filter (where b.close < a.close - 1e-12) + 0.5 * count(*) filter (where abs(b.close - a.close) <= 1e-12)) * 100.0 / 90, 6) end as midrank
+    select a.symbol, a.day, case when count(b.rn) = 90 then round((count(*) filter (where b.close < a.close - (1e-12 + 1e-9 * abs(a.close))) + 0.5 * count(*) filter (where abs(b.close - a.close) <= 1e-12 + 1e-9 * abs(a.close))) * 100.0 / 90, 6) end as midrank
     from n a left join n b on a.symbol = b.symbol and b.rn between a.rn - 90 and a.rn - 1 group by a.symbol, a.day"""))(lambda s, d: series.midrank(long_series(s, d)).select("symbol", "day", r6("midrank")))
 R.add("w14_ffill", with_views("ticks", "select symbol, event_id, last_value(case when size > 50 then price end ignore nulls) over (partition by symbol order by us, event_id rows unbounded preceding) as filled from ticks"))(
     lambda s, d: ticks(s, d).withColumn("v", F.when(F.col("size") > 50, F.col("price"))).select("symbol", "event_id", F.last("v", ignorenulls=True).over(series.upto(Window.partitionBy("symbol").orderBy("us", "event_id"))).alias("filled"))
@@ -70,8 +70,7 @@ R.add("w14_ffill", with_views("ticks", "select symbol, event_id, last_value(case
 R.add("w15_keep_first_last", with_views("ticks", "select user_id, symbol, arg_min(event_id, (us, event_id)) as first_id, arg_max(event_id, (us, event_id)) as last_id from ticks group by 1, 2"))(
     lambda s, d: ticks(s, d).groupBy("user_id", "symbol").agg(F.min_by("event_id", F.struct("us", "event_id")).alias("first_id"), F.max_by("event_id", F.struct("us", "event_id")).alias("last_id"))
 )
-R.add("w16_nearest_expiries", """select name, symbol, rank from (select name, symbol, row_number() over (partition by name order by try_strptime(expiry, '%d-%b-%y'), symbol) as rank from
-    (select distinct name, symbol, expiry from symtoken where exchange = 'CDS' and instrumenttype = 'FUT' and length(expiry) = 9 and snapshot_date = date '2026-10-19')) where rank <= 3""")(
+R.add("w16_nearest_expiries", f"""select name, symbol, rank from (select name, symbol, row_number() over (partition by exchange, name order by e, symbol) as rank from {LATEST_FUTURES}) where rank <= 3""")(
     lambda s, d: align.neighbours(latest_futures(table(s, d, "symtoken")), ["exchange", "name"], [F.asc_nulls_last("expiry_on"), F.col("symbol")]).select("name", "symbol", "rank")
 )
 R.add("w17_nth_from_last", with_views("daily", "select symbol, exchange, day, oi from (select *, row_number() over (partition by symbol, exchange order by day desc) r from daily) where r = 2"))(

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from quillbar.sources.tables import ist_day
+
 HISTORY = "timestamp bigint, open double, high double, low double, close double, volume bigint, oi bigint"
 #: Rows one history answer may have.
 HISTORY_LIMIT = 200_000
@@ -26,14 +28,15 @@ def symbol_list(spark: SparkSession, path: str) -> DataFrame:
 
 #: Names under which signal files carry a field, letters and digits only. Fixed values.
 ALIASES = {
-    "day": ("date", "signaldate", "day", "tradedate"), "symbol": ("symbol", "ticker", "stock", "scrip"), "timestamp": ("timestamp", "time", "datetime"),
-    "sector": ("sector",), "marketcap": ("marketcap", "marketcapname", "cap"),
+    "day": ("date", "signaldate", "scandate"), "timestamp": ("timestamp", "datetime"), "time": ("signaltime", "time"), "symbol": ("symbol", "ticker", "nsesymbol"),
+    "sector": ("sector", "industry"), "marketcap": ("marketcapname", "marketcap"), "exchange": ("exchange", "tradingexchange"), "asset_class": ("assetclass", "assettype", "instrumenttype"),
 }
 
 
 def resolve_header(columns: list[str]) -> dict[str, str]:
-    """Field -> column; a field that two columns could be, or a missing day or symbol, is an error."""
-    plain = {c: "".join(x for x in c.lstrip("﻿").lower() if x.isalnum()) for c in columns}
+    """Field -> column; a field that two columns could be is an error, and so is a
+    file without a symbol, or with neither a date nor a timestamp."""
+    plain = {c: "".join(x for x in c.lstrip("\ufeff").lower() if x.isalnum()) for c in columns}
     out: dict[str, str] = {}
     for field, names in ALIASES.items():
         hit = [c for c, p in plain.items() if p in names]
@@ -41,19 +44,24 @@ def resolve_header(columns: list[str]) -> dict[str, str]:
             raise ValueError(f"columns {hit} are all {field}")
         if hit:
             out[field] = hit[0]
-    if not {"day", "symbol"} <= set(out):
-        raise ValueError("a signal file needs a date and a symbol column")
+    if "symbol" not in out or not {"day", "timestamp"} & set(out):
+        raise ValueError("a signal file needs a symbol column and a date or timestamp column")
     return out
 
 
 def signals(raw: DataFrame, row: str = "row") -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected) signals of a file that was read as text columns with a
-    row number: two date forms, symbols of letters, digits, & and -, the first of
-    equal signals is kept; rejects carry a reason."""
+    row number: two date forms, or the day in India of an ISO timestamp (without a
+    zone it is India); symbols of letters, digits, & and -; the first of equal
+    signals is kept; rejects carry a reason."""
     h = resolve_header([c for c in raw.columns if c != row])
     col = lambda f: F.trim(F.col(f"`{h[f]}`")) if f in h else F.lit(None).cast("string")
-    day = F.coalesce(*[F.to_date(F.try_to_timestamp(col("day"), F.lit(p))) for p in ("yyyy-MM-dd", "dd-MM-yyyy")])
-    s = raw.select(F.col(row).alias("row"), day.alias("signal_date"), F.upper(col("symbol")).alias("symbol"), col("timestamp").alias("timestamp"), col("sector").alias("sector"), col("marketcap").alias("marketcapname"))
+    stamp = F.when(col("timestamp").rlike(r"(Z|[+-]\d{2}:?\d{2})$"), F.try_to_timestamp(col("timestamp"))).otherwise(F.try_to_timestamp(F.concat(col("timestamp"), F.lit("+05:30"))))
+    day = F.coalesce(*[F.to_date(F.try_to_timestamp(col("day"), F.lit(p))) for p in ("yyyy-MM-dd", "dd-MM-yyyy")], F.when(col("day").isNull(), ist_day(F.unix_seconds(stamp))))
+    s = raw.select(
+        F.col(row).alias("row"), day.alias("signal_date"), F.upper(col("symbol")).alias("symbol"), col("timestamp").alias("timestamp"), col("time").alias("time"),
+        col("sector").alias("sector"), col("marketcap").alias("marketcapname"), col("exchange").alias("exchange"), col("asset_class").alias("asset_class"),
+    )
     why = F.when(F.col("signal_date").isNull(), "date").when(~F.coalesce(F.col("symbol").rlike(r"^[A-Z0-9&-]{1,32}$"), F.lit(False)), "symbol")
     s = s.withColumn("reason", why)
     good = s.where("reason is null").drop("reason")

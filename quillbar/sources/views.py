@@ -105,3 +105,9 @@ def with_views(names: str, body: str) -> str:
             if k not in order:
                 order.append(k)
     return "with " + ", ".join(CTE[k] for k in order) + "\n" + body
+
+
+#: Twin of ``snapshots.latest_futures``: exchange, name, symbol, e (expiry as a date, of either form).
+LATEST_FUTURES = """(select exchange, name, symbol, min((case when length(trim(expiry)) = 9 then try_strptime(trim(expiry), '%d-%b-%y') else
+    coalesce(try_strptime(trim(expiry), '%d-%b-%Y'), try_strptime(trim(expiry), '%Y-%m-%d')) end)::date) as e
+  from symtoken where instrumenttype = 'FUT' and trim(name) <> '' and trim(expiry) <> '' and snapshot_date = (select max(snapshot_date) from symtoken) group by 1, 2, 3)"""

@@ -55,7 +55,13 @@ def test_signal_files(spark):
     assert sorted((r.symbol, str(r.signal_date), r.row) for r in good.collect()) == [("AAA", "2026-01-05", 2), ("BBB", "2026-01-06", 4)]
     assert {r.row: r.reason for r in bad.collect()} == {5: "date", 6: "symbol", 7: "date"}
     with pytest.raises(ValueError):
-        cn.resolve_header(["Date", "Day", "Symbol"])
+        cn.resolve_header(["Date", "Scan Date", "Symbol"])
+    with pytest.raises(ValueError):
+        cn.resolve_header(["Time", "Symbol"])
+    assert cn.resolve_header(["Datetime", "Signal Time", "NSE Symbol", "Industry", "Instrument Type"]) == {"timestamp": "Datetime", "time": "Signal Time", "symbol": "NSE Symbol", "sector": "Industry", "asset_class": "Instrument Type"}
+    stamped = spark.createDataFrame([("2026-01-05T20:00:00Z", "AAA", 1), ("2026-01-05T20:00:00", "BBB", 2), ("soon", "CCC", 3)], "Timestamp string, Symbol string, row int")
+    good, bad = cn.signals(stamped)
+    assert sorted((r.symbol, str(r.signal_date)) for r in good.collect()) == [("AAA", "2026-01-06"), ("BBB", "2026-01-05")] and [r.row for r in bad.collect()] == [3]
 
 
 def fake_page(lo, hi):
