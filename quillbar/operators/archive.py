@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillbar.operators.ranking import ranked
 from quillbar.sources.tables import IST_OFFSET
 
 PK = ["symbol", "exchange", "interval", "timestamp"]
@@ -25,9 +26,15 @@ def read_window(bars: DataFrame, symbol: str, exchange: str, interval: str, lowe
     return w.withColumn("_n", n).where(guard).drop("_n")
 
 
+#: Windows one call may ask for; bounds what is broadcast.
+MOST_REQUESTS = 16
+
+
 def read_many(bars: DataFrame, requests: list[tuple[str, str, str, str, int, int]]) -> DataFrame:
     """Row count and range of many windows in one join; a window without rows has
-    count 0. The requests are a literal list of the caller, so they are small."""
+    count 0. The requests are a literal list of the caller, at most ``MOST_REQUESTS``."""
+    if len(requests) > MOST_REQUESTS:
+        raise ValueError(f"at most {MOST_REQUESTS} windows at once")
     r = bars.sparkSession.createDataFrame(
         [(i, s.upper(), e, v, lo, hi) for i, s, e, v, lo, hi in requests], "request_id string, symbol string, exchange string, interval string, lo bigint, hi bigint"
     )
@@ -72,9 +79,16 @@ def rewrite_names(instruments: DataFrame) -> DataFrame:
     return instruments.withColumn("changed", F.coalesce(changed, F.lit(False))).withColumn("name", F.when(changed, d).otherwise(F.col("name")))
 
 
-def next_ids(rows: DataFrame, high_water: DataFrame, order: str) -> DataFrame:
-    """Ids after the highest one in use, in the given order."""
-    return rows.select("*", (high_water.scalar() + F.row_number().over(Window.orderBy(order))).cast("bigint").alias("id"))
+def next_ids(rows: DataFrame, high_water: DataFrame, order: str, bucket: Column | None = None) -> DataFrame:
+    """Ids after the highest one in use, in the given order. ``bucket``: grows with
+    the order and keeps a bounded number of rows together; by default the first
+    letters of a text. Nulls come first."""
+    if bucket is None:
+        if rows.schema[order].dataType.simpleString() != "string":
+            raise ValueError("an order that is no text needs a bucket")
+        bucket = F.coalesce(F.substring(order, 1, 3), F.lit(""))
+    pos = ranked(rows.withColumn("_all", F.lit(1)), ["_all"], [F.col(order)], bucket, "_pos")
+    return pos.withColumn("id", (high_water.scalar() + F.col("_pos") + 1).cast("bigint")).drop("_all", "_pos")
 
 
 def reset_before(rows: DataFrame, past: Column, amount: str) -> DataFrame:

@@ -71,8 +71,9 @@ def find_orphans(parent_rows: DataFrame, child_rows: DataFrame, salts: int = SAL
 
 def orphan_report(orphans: DataFrame) -> DataFrame:
     """Orphans and distinct missing keys per referring table and period. Two
-    levels: first per key, then per period."""
-    one = orphans.dropDuplicates(["ref_table", "ref_id"]).groupBy("ref_table", "period", "parent_table", "key").agg(F.count("*").alias("n"))
+    levels: first per key, then per period. An id that occurs with several keys
+    or periods counts once with each."""
+    one = orphans.distinct().groupBy("ref_table", "period", "parent_table", "key").agg(F.count("*").alias("n"))
     return one.groupBy("ref_table", "period").agg(F.sum("n").alias("orphans"), F.count("*").alias("missing_keys"))
 
 

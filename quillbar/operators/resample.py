@@ -34,8 +34,15 @@ def resample(bars: DataFrame, interval: str, open_seconds: int = OPEN_SECONDS) -
     ).select(*cols)
 
 
+#: Intervals one call may ask for; bounds what is broadcast.
+MOST_INTERVALS = 100
+
+
 def available_intervals(catalog: DataFrame, intervals: list[str]) -> DataFrame:
-    """Which intervals are usable per instrument: those whose source is stored."""
+    """Which intervals are usable per instrument: those whose source is stored. The
+    intervals are a literal list of the caller, at most ``MOST_INTERVALS``."""
+    if len(intervals) > MOST_INTERVALS:
+        raise ValueError(f"at most {MOST_INTERVALS} intervals at once")
     pairs = [(t, i.source) for t in intervals if (i := parse_interval(t))]
     want = catalog.sparkSession.createDataFrame(pairs, "wanted string, interval string")
     return catalog.select("symbol", "exchange", "interval").distinct().join(F.broadcast(want), "interval").select("symbol", "exchange", "wanted")

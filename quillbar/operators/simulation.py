@@ -3,11 +3,12 @@ and account risk, fold plans, parameter grids."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import product
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -51,35 +52,101 @@ def cumulative_days(days: DataFrame) -> DataFrame:
     return d.withColumn("cumulative", F.sum("result").over(Window.partitionBy("symbol").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def position_risk(ticks: DataFrame, keys: list[str], order: list[str], stop: float, target: float, trail: float) -> DataFrame:
-    """Long position from the first tick of a key: the best price so far carries a
-    trailing stop that only rises; the stop is tested before the target. Gives
-    the stop in force and the exit (stop, target) where it happens; after the
-    exit the rows have neither. The walk streams each key's sorted ticks."""
-    cols = [*keys, *order, "price"]
+#: What a position's watch is set to, beside its key: a side of BUY or SELL; prices
+#: that are not above zero and finite are not set; trail_mode none, continuous or stepped.
+RISK = ("side", "entry", "stop", "target", "trail_mode", "trail_trigger", "trail_step")
+
+
+def _price(c: str) -> Column:
+    """A price above zero and finite, else null."""
+    return F.when((F.col(c) > 0) & ~F.isnan(c) & (F.col(c) < float("inf")), F.col(c))
+
+
+def position_risk(ticks: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Ticks of positions (keys, order, price, and the columns ``RISK``, the same
+    in all ticks of a position): the stop in force and the exit (stop, target)
+    where it happens; after the exit the rows have neither, and neither has a
+    tick without a usable price.
+
+    The best price so far never worsens, and the trailed stop only follows it, so
+    both are running extremes and the exit is the first row beyond a level:
+    windows say it all. The trail moves before the stop is tested, the stop is
+    tested before the target. Without a usable entry nothing trails."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    sign = F.when(F.col("side") == "BUY", 1.0).otherwise(-1.0)
+    d = ticks.withColumn("_p", _price("price")).withColumn("_e", _price("entry")).withColumn("_s", _price("stop")).withColumn("_t", _price("target")).withColumn("_d", sign)
+    best = F.max(F.greatest(F.col("_d") * F.col("_p"), F.when(F.col("_p").isNotNull(), F.col("_d") * F.col("_e")))).over(upto)
+    d = d.withColumn("_best", best).withColumn("_gain", F.greatest(F.lit(0.0), F.col("_best") - F.col("_d") * F.col("_e")))
+    trigger = F.greatest(F.lit(0.0), F.coalesce("trail_trigger", F.lit(0.0)))
+    armed = (F.col("trail_step") > 0) & (F.col("trail_step") < float("inf")) & (F.col("_gain") > 0) & (F.col("_gain") >= trigger)
+    steps = F.floor(F.col("_gain") / F.when(trigger > 0, trigger))
+    wish = F.when(F.col("trail_mode") == "continuous", F.col("_best") - F.col("trail_step")).when(
+        (F.col("trail_mode") == "stepped") & (steps > 0), F.col("_d") * F.col("_s") + steps * F.col("trail_step")
+    )
+    level = F.greatest(F.col("_d") * F.col("_s"), F.when(armed & wish.isNotNull(), F.least(wish, F.col("_best"))))
+    d = d.withColumn("_level", level)
+    at = F.col("_d") * F.col("_p")
+    why = F.when(at <= F.col("_level"), "stop").when(at >= F.col("_d") * F.col("_t"), "target")
+    d = d.withColumn("_why", why).withColumn("_out", F.coalesce(F.count("_why").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) > 0)
+    seen = ~F.col("_out") & F.col("_p").isNotNull()
+    return d.select(*keys, *order, F.when(seen, F.abs("_level")).alias("stop_level"), F.when(seen, F.col("_why")).alias("exit"))
+
+
+class RiskState:
+    """The same rule tick by tick: best price so far and whether the position is out."""
+
+    def __init__(self, state: tuple[float | None, bool] = (None, False)) -> None:
+        self.best, self.out = state
+
+    @staticmethod
+    def _usable(x: float | None) -> float | None:
+        return x if x is not None and math.isfinite(x) and x > 0 else None
+
+    def tick(self, price: float | None, side: str, entry: float | None, stop: float | None, target: float | None, mode: str | None, trigger: float | None, step: float | None) -> tuple[float | None, str | None]:
+        """(stop in force, exit) of one tick."""
+        p = self._usable(price)
+        if p is None or self.out:
+            return None, None
+        d = 1.0 if side == "BUY" else -1.0
+        e, s, t = self._usable(entry), self._usable(stop), self._usable(target)
+        known = [x for x in (self.best, d * p, None if e is None else d * e) if x is not None]
+        self.best = max(known)
+        levels = [] if s is None else [d * s]
+        gain = 0.0 if e is None else max(0.0, self.best - d * e)
+        trigger = max(0.0, trigger or 0.0)
+        if step is not None and math.isfinite(step) and step > 0 and gain > 0 and gain >= trigger:
+            if mode == "continuous":
+                levels.append(min(self.best - step, self.best))
+            elif mode == "stepped" and trigger > 0 and s is not None and gain >= trigger:
+                levels.append(min(d * s + math.floor(gain / trigger) * step, self.best))
+        level = max(levels, default=None)
+        why = "stop" if level is not None and d * p <= level else "target" if t is not None and d * p >= d * t else None
+        self.out = why is not None
+        return None if level is None else abs(level), why
+
+
+def risk_monitor(ticks: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The rule of the tick-stream monitor over stored ticks: streams each
+    position's sorted ticks through ``RiskState``, one state at a time."""
+    cols = [*keys, *order, "price", *RISK]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        who, entry, best, level, done = None, 0.0, 0.0, 0.0, False
+        who, rule = None, RiskState()
         for b in batches:
             out = []
-            for k, p in zip(b[keys].itertuples(index=False, name=None), b["price"].tolist()):
+            plain = b[["price", *RISK]].astype(object).where(b[["price", *RISK]].notna(), None)
+            for k, x in zip(b[keys].itertuples(index=False, name=None), plain.itertuples(index=False, name=None)):
                 if k != who:
-                    who, entry, best, level, done = k, p, p, p * (1 - stop), False
-                if done:
-                    out.append((None, None))
-                    continue
-                best = max(best, p)
-                level = max(level, best * (1 - trail))
-                why = "stop" if p <= level else "target" if p >= entry * (1 + target) else None
-                done = why is not None
-                out.append((level, why))
+                    who, rule = k, RiskState()
+                out.append(rule.tick(*x))
             r = b[[*keys, *order]].copy()
             r["stop_level"] = pd.Series([x for x, _ in out], index=r.index, dtype="float64")
             r["exit"] = [y for _, y in out]
             yield r
 
     kinds = ", ".join(f"{c} {ticks.schema[c].dataType.simpleString()}" for c in [*keys, *order])
-    src = ticks.select(*cols).where(" and ".join(f"{c} is not null" for c in cols))
+    src = ticks.select(*cols).where(" and ".join(f"`{c}` is not null" for c in keys))
     return src.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, f"{kinds}, stop_level double, exit string")
 
 

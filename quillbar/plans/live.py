@@ -13,6 +13,7 @@ from quillbar.operators.series import longest_runs
 from quillbar.operators.snapshots import latest_futures
 from quillbar.plans import Registry
 from quillbar.plans.portfolio import _ret
+from quillbar.session import shared_folder
 from quillbar.sources import connectors
 from quillbar.sources.tables import table
 from quillbar.sources.views import LATEST_FUTURES, bars, chain, daily, legs, long_series, ticks, with_views
@@ -22,8 +23,7 @@ R = Registry()
 
 
 def _folder(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
-    return f"{base}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _stream(s, d):
@@ -55,7 +55,30 @@ R.add("st15_reconcile", with_views("ticks", """, b as (select symbol, us // 3600
     select symbol, cast(bucket as bigint) as bucket, case when bucket % 7200 = 0 then close + 1 else close end as close from b"""))(
     lambda s, d: live.reconcile(tick_bars(ticks(s, d), 3600).where("bucket % 7200 = 0").select("symbol", "bucket", (F.col("close") + 1).alias("close")), tick_bars(ticks(s, d), 3600).select("symbol", "bucket", "close"))
 )
-R.add("sim8_position_risk")(lambda s, d: simulation.position_risk(ticks(s, d), ["symbol", "user_id"], ["us", "event_id"], 0.5, 3.0, 0.6))
+def _watched(s, d):
+    """Ticks as prices of positions, one per symbol and user, that the first tick opens: both sides, all trails."""
+    k, mode = ["symbol", "user_id"], F.col("user_id") % 3
+    first = F.first("price").over(Window.partitionBy(*k).orderBy("us", "event_id"))
+    long = F.col("user_id") % 2 == 0
+    away = lambda far: F.when(long, F.col("entry") * (1 - far)).otherwise(F.col("entry") * (1 + far))
+    t = ticks(s, d).where("price is not null and user_id is not null").select(*k, "us", "event_id", "price", F.when(long, "BUY").otherwise("SELL").alias("side"), first.alias("entry"))
+    return t.select(
+        "*", away(0.5).alias("stop"), away(-0.9).alias("target"), F.when(mode == 0, "none").when(mode == 1, "continuous").otherwise("stepped").alias("trail_mode"),
+        (F.col("entry") * 0.1).alias("trail_trigger"), (F.col("entry") * 0.05).alias("trail_step"),
+    )
+
+
+_RISK_SQL = with_views("ticks", """, k as (select symbol, user_id, us, event_id, price as p, case when user_id % 2 = 0 then 1.0::double else -1.0::double end as d, user_id % 3 as mode, first_value(price) over w as e
+      from ticks where price is not null and user_id is not null window w as (partition by symbol, user_id order by us, event_id)),
+    l as (select *, e * (1 - d * 0.5) as s, e * (1 + d * 0.9) as t, max(d * p) over (partition by symbol, user_id order by us, event_id rows unbounded preceding) as best from k),
+    g as (select *, greatest(0, best - d * e) as gain from l),
+    v as (select *, greatest(d * s, case when gain > 0 and gain >= e * 0.1 and mode <> 0 then least(best, case mode when 1 then best - e * 0.05 when 2 then d * s + floor(gain / (e * 0.1)) * (e * 0.05) end) end) as level from g),
+    x as (select *, case when d * p <= level then 'stop' when d * p >= d * t then 'target' end as why from v),
+    o as (select *, coalesce(count(why) over (partition by symbol, user_id order by us, event_id rows between unbounded preceding and 1 preceding), 0) > 0 as out from x)
+    select symbol, user_id, us, event_id, case when not out then round(abs(level), 6) end as stop_level, case when not out then why end as exit from o""")
+_SHOWN = lambda r: r.withColumn("stop_level", F.round("stop_level", 6))
+R.add("sim8_position_risk", _RISK_SQL)(lambda s, d: _SHOWN(simulation.position_risk(_watched(s, d), ["symbol", "user_id"], ["us", "event_id"])))
+R.add("st12_risk_monitor", _RISK_SQL)(lambda s, d: _SHOWN(simulation.risk_monitor(_watched(s, d), ["symbol", "user_id"], ["us", "event_id"])))
 R.add("sim9_account_risk", with_views("ticks", """, p as (select symbol as account, us * 1000 + event_id % 1000 as ts, sum(case when event_id % 2 = 0 then size else -size end) over (partition by symbol order by us, event_id) as pnl from ticks),
     q as (select *, max(pnl) over (partition by account order by ts) as peak, min(pnl) over (partition by account order by ts) as trough from p), f as (select *, case when peak >= 200 then greatest(0, peak - 100) end as floor from q)
     select account, ts, cast(pnl as double) pnl, cast(peak as double) peak, cast(trough as double) trough, cast(floor as double) as floor, case when pnl <= -500 then 'stop' when floor is not null and pnl <= floor then 'lock' when pnl >= 2000 then 'target' end as trigger from f"""))(

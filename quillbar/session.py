@@ -26,17 +26,25 @@ def build_session(master: str = "local[8]", shuffle: int = 8, app: str = "quillb
     return s
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``. Only where that is
+    unset and everything runs on one machine (tests), a folder in the warehouse;
+    on a cluster a machine's own folder would be lost with it."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("a cluster must name a shared folder in spark.checkpoint.dir")
+    return f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
+
+
 def cut_lineage(df, eager: bool = True):
     """Writes a frame to the reliable checkpoint folder and reads it back.
-
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only
-    where that is unset (tests on one machine) a folder in the warehouse is
-    used. Executors may be lost afterwards: the files are shared."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    Executors may be lost afterwards: the files are shared."""
+    sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager)
 
 

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
+from quillbar.operators.simulation import RISK, RiskState
+
 BAR = "symbol string, bucket bigint, open double, high double, low double, close double, volume double, ticks bigint"
 
 
@@ -177,3 +179,33 @@ def run_available(stream: DataFrame, folder: str) -> DataFrame:
     q = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+class RiskProcessor(StatefulProcessor):
+    """Watches positions tick by tick; the state is the best price and whether the position is out."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("risk", "best double, out boolean")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        rule = RiskState(tuple(self.state.get()) if self.state.exists() else (None, False))
+        out = []
+        for g in rows:
+            g = g.sort_values("seq", kind="stable")
+            plain = g[["price", *RISK]].astype(object).where(g[["price", *RISK]].notna(), None)
+            for seq, x in zip(g["seq"].tolist(), plain.itertuples(index=False, name=None)):
+                level, why = rule.tick(*x)
+                if why:
+                    out.append((key[0], seq, level, why))
+        self.state.update((rule.best, rule.out))
+        yield pd.DataFrame(out, columns=["position", "seq", "stop_level", "exit"])
+
+    def close(self) -> None:
+        pass
+
+
+def monitored_exits(ticks: DataFrame) -> DataFrame:
+    """Exits from a stream of (position, seq, price and the columns ``RISK``)."""
+    return ticks.groupBy("position").transformWithStateInPandas(
+        statefulProcessor=RiskProcessor(), outputStructType="position string, seq bigint, stop_level double, exit string", outputMode="Append", timeMode="None"
+    )

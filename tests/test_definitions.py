@@ -61,3 +61,47 @@ def test_the_last_session_of_the_last_period_rebalances(spark):
     # 1000 -> 1500 at the end of January, set back to 750 each; b doubles to 1500, and the last session sets 2250 back
     assert [round(r.value, 6) for r in got] == [1000.0, 1500.0, 2250.0]
     assert [r.orders > 0 for r in got][1:] == [True, True]
+
+
+#: (side, entry, stop, target, mode, trigger, step), prices, stop levels and the exit, by hand.
+WATCHED = [
+    (("BUY", 100.0, 95.0, 110.0, "none", None, None), [101.0, 95.0, 120.0], [95.0, 95.0, None], (1, "stop")),
+    (("SELL", 100.0, 105.0, 90.0, "none", None, None), [99.0, 90.0, 80.0], [105.0, 105.0, None], (1, "target")),
+    (("BUY", 100.0, 95.0, None, "continuous", 2.0, 3.0), [101.0, 102.0, 106.0, 104.0, 103.0], [95.0, 99.0, 103.0, 103.0, 103.0], (4, "stop")),
+    (("SELL", 100.0, 105.0, None, "continuous", 0.0, 3.0), [100.0, 96.0, 98.0, 99.0], [105.0, 99.0, 99.0, 99.0], (3, "stop")),
+    (("BUY", 100.0, 95.0, None, "stepped", 5.0, 2.0), [104.9, 105.0, 111.0, 99.0], [95.0, 97.0, 99.0, 99.0], (3, "stop")),
+    (("SELL", 100.0, 110.0, None, "stepped", 5.0, 5.0), [95.0, 89.0, 100.0], [105.0, 100.0, 100.0], (2, "stop")),
+    (("BUY", 100.0, 99.0, None, "stepped", 1.0, 50.0), [101.5], [101.5], (0, "stop")),  # never beyond the best price seen
+    (("BUY", None, 95.0, 110.0, "continuous", 0.0, 1.0), [108.0, 96.0, 94.0], [95.0, 95.0, 95.0], (2, "stop")),  # no entry, no trail
+    (("BUY", 100.0, None, None, "none", None, None), [1.0, 500.0], [None, None], None),
+    (("BUY", 100.0, 95.0, 110.0, "none", None, None), [float("nan"), 0.0, -5.0, float("inf"), 94.0], [None, None, None, None, 95.0], (4, "stop")),
+]
+_WATCH = "position string, seq bigint, price double, side string, entry double, stop double, target double, trail_mode string, trail_trigger double, trail_step double"
+
+
+def _watch_rows():
+    return [(f"p{i:02d}", k, p, *w) for i, (w, prices, _, _) in enumerate(WATCHED) for k, p in enumerate(prices)]
+
+
+def test_position_risk_by_hand(spark):
+    from quillbar.operators import simulation
+
+    df = spark.createDataFrame(_watch_rows(), _WATCH)
+    for f in (simulation.position_risk, simulation.risk_monitor):
+        got = {(r.position, r.seq): (r.stop_level, r.exit) for r in f(df, ["position"], ["seq"]).collect()}
+        for i, (_, prices, levels, out) in enumerate(WATCHED):
+            assert [got[f"p{i:02d}", k][0] for k in range(len(prices))] == levels, (f.__name__, i)
+            assert [(k, got[f"p{i:02d}", k][1]) for k in range(len(prices)) if got[f"p{i:02d}", k][1]] == ([out] if out else []), (f.__name__, i)
+        assert f(df.where("false"), ["position"], ["seq"]).count() == 0
+
+
+def test_position_risk_on_a_stream(spark, tmp_path):
+    from quillbar.streaming import bars as live
+
+    spark.createDataFrame(_watch_rows(), _WATCH).repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(_WATCH).parquet(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    q = live.monitored_exits(stream).writeStream.format("memory").queryName("exits").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = sorted((r.position, r.seq, r.exit) for r in spark.table("exits").collect())
+    assert got == [(f"p{i:02d}", *out) for i, (_, _, _, out) in enumerate(WATCHED) if out]
