@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillbar.operators.ranking import ranked
+from quillbar.session import cut_lineage
 from quillbar.sources.tables import IST_OFFSET
 
 PK = ["symbol", "exchange", "interval", "timestamp"]
@@ -133,6 +134,31 @@ def export(df: DataFrame, path: str, fmt: str = "parquet", compression: str | No
     (w.option("header", True).csv if fmt in ("csv", "txt") else w.parquet)(path)
 
 
+def export_symbol_csv(bars: DataFrame, path: str) -> None:
+    """One folder of CSV per symbol, with the columns TICKER, DATE (yyyyMMdd) and
+    TIME (HH:mm:ss, both in India), OPEN to VOLUME."""
+    at = F.timestamp_seconds(F.col("timestamp") + IST_OFFSET)
+    cols = [F.date_format(at, "yyyyMMdd").alias("DATE"), F.date_format(at, "HH:mm:ss").alias("TIME"), *[F.col(c).alias(c.upper()) for c in ("open", "high", "low", "close", "volume")]]
+    bars.select(F.col("symbol").alias("TICKER"), *cols).repartition("TICKER").sortWithinPartitions("TICKER", "DATE", "TIME").write.mode("overwrite").partitionBy("TICKER").option("header", True).csv(path)
+
+
+def csv_text(rows: DataFrame) -> DataFrame:
+    """Every row as one line of CSV (column ``line``), in the order of the columns."""
+    return rows.select(F.to_csv(F.struct(*rows.columns)).alias("line"))
+
+
+def append_new(rows: DataFrame, path: str, key: list[str], at: str) -> DataFrame:
+    """Appends to a stored table the rows that come after the last one stored of
+    their key, and gives what was appended. The stored table is its own
+    checkpoint, so an append that is repeated adds nothing."""
+    spark = rows.sparkSession
+    done = spark.read.parquet(path).groupBy(*key).agg(F.max(at).alias("_done"))
+    fresh = rows.join(done, key, "left").where(F.col("_done").isNull() | (F.col(at) > F.col("_done"))).drop("_done")
+    fresh = cut_lineage(fresh)  # what is read here must not see what is written below
+    fresh.write.mode("append").parquet(path)
+    return fresh
+
+
 def export_preview(bars: DataFrame, row_bytes: int = 72) -> DataFrame:
     """Matching rows per interval and an estimate of their size."""
     return bars.groupBy("interval").agg(F.count("*").alias("records"), (F.count("*") * row_bytes).cast("bigint").alias("bytes"))

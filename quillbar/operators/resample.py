@@ -34,6 +34,14 @@ def resample(bars: DataFrame, interval: str, open_seconds: int = OPEN_SECONDS) -
     ).select(*cols)
 
 
+def get_ohlcv(bars: DataFrame, symbol: str, exchange: str, interval: str, lower: int, upper: int) -> DataFrame:
+    """Bars of one series in [lower, upper) at any interval, computed from the
+    stored source. The predicates on series and source reach the scan; the range
+    is applied to the computed bars, whose buckets may begin before their rows."""
+    one = bars.where((F.col("symbol") == symbol.upper()) & (F.col("exchange") == exchange))
+    return resample(one, interval).where((F.col("timestamp") >= lower) & (F.col("timestamp") < upper))
+
+
 #: Intervals one call may ask for; bounds what is broadcast.
 MOST_INTERVALS = 100
 

@@ -26,6 +26,36 @@ def symbol_list(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=False).select(F.upper(F.trim("_c0")).alias("symbol")).where("symbol <> ''")
 
 
+#: Columns of a bar file and their types.
+BAR_FILE = "timestamp bigint, open double, high double, low double, close double, volume bigint, oi bigint"
+
+
+def import_bars(spark: SparkSession, path: str, fmt: str, symbol: str, exchange: str, interval: str) -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected) bars of an uploaded CSV (with a header) or Parquet file,
+    stamped with the series they are for. A row is rejected with a reason: a value
+    that is no number (``value``), prices that contradict each other (``prices``)."""
+    if fmt not in ("csv", "parquet"):
+        raise ValueError("format must be csv or parquet")
+    kinds = {c.split()[0]: c.split()[1] for c in BAR_FILE.split(", ")}
+    raw = spark.read.csv(path, header=True) if fmt == "csv" else spark.read.parquet(path)
+    names = {c.strip().lower(): c for c in raw.columns}
+    lost = [c for c in kinds if c not in names and c != "oi"]
+    if lost:
+        raise ValueError(f"bar file lacks {lost}")
+    cast = [F.expr(f"try_cast(trim(`{names[c]}`) as {t})" if fmt == "csv" else f"try_cast(`{names[c]}` as {t})").alias(c) if c in names else F.lit(0).cast(t).alias(c) for c, t in kinds.items()]
+    b = raw.select(F.lit(symbol.upper()).alias("symbol"), F.lit(exchange).alias("exchange"), F.lit(interval).alias("interval"), *cast)
+    given = " and ".join(f"{c} is not null" for c in kinds if c not in ("volume", "oi"))
+    sane = "open > 0 and high > 0 and low > 0 and low <= least(open, close) and high >= greatest(open, close) and high < 1e300 and coalesce(volume, 0) >= 0"
+    why = F.when(~F.expr(given), "value").when(~F.expr(sane), "prices")
+    b = b.withColumn("reason", why).withColumn("volume", F.coalesce("volume", F.lit(0))).withColumn("oi", F.coalesce("oi", F.lit(0)))
+    return b.where("reason is null").drop("reason"), b.where("reason is not null")
+
+
+def sine_page(lo: int, hi: int) -> list[tuple]:
+    """A deterministic page of minute bars, for trying a paged feed."""
+    return [(t, 100.0 + t % 7, 110.0 + t % 7, 90.0, 101.0 + t % 5, t % 1000) for t in range(-(-lo // 60) * 60, hi, 60)]
+
+
 #: Names under which signal files carry a field, letters and digits only. Fixed values.
 ALIASES = {
     "day": ("date", "signaldate", "scandate"), "timestamp": ("timestamp", "datetime"), "time": ("signaltime", "time"), "symbol": ("symbol", "ticker", "nsesymbol"),

@@ -140,19 +140,24 @@ def closing_bars(ticks: DataFrame, span: int) -> DataFrame:
     return ticks.groupBy("symbol").transformWithStateInPandas(statefulProcessor=BarProcessor(span), outputStructType=BAR, outputMode="Append", timeMode="ProcessingTime")
 
 
-def closing_bars_batch(ticks: DataFrame, span: int) -> DataFrame:
-    """The same rule over stored ticks: streams each symbol in order of arrival."""
+def closing_bars_batch(ticks: DataFrame, span: int, clock: float | None = None) -> DataFrame:
+    """The same rule over stored ticks: streams each symbol in order of arrival.
+    ``clock``: the time (seconds) it is after the last tick; a bucket whose end and
+    settling time have passed by then closes without another tick."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         who, rule = None, BarState(span)
+        ended = lambda: [(who, *x)] if who is not None and clock is not None and (x := rule.clock(clock)) else []
         for b in batches:
             out = []
             for k, t, p, c in zip(b["symbol"].tolist(), b["ts"].tolist(), b["price"].tolist(), b["volume"].tolist()):
                 if k != who:
+                    out += ended()
                     who, rule = k, BarState(span)
                 if x := rule.tick(t, p, None if c != c else c):
                     out.append((k, *x))
             yield pd.DataFrame(out, columns=["symbol", "bucket", "open", "high", "low", "close", "volume", "ticks"])
+        yield pd.DataFrame(ended(), columns=["symbol", "bucket", "open", "high", "low", "close", "volume", "ticks"])
 
     return ticks.select("symbol", "seq", "ts", "price", "volume").repartition("symbol").sortWithinPartitions("symbol", "seq").mapInPandas(run, BAR)
 
