@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillbar.operators import archive, resample
+from quillbar.operators import accounts, archive, resample
 from quillbar.plans import Registry
 from quillbar.session import shared_folder
 from quillbar.sources import connectors
@@ -158,3 +158,27 @@ def st5_closing_timer(s: SparkSession, d: str) -> DataFrame:
     order = F.row_number().over(Window.partitionBy("symbol").orderBy("us", "event_id"))
     feed = t.select("symbol", order.cast("bigint").alias("seq"), (F.col("us") / 1e6).alias("ts"), "price", cum.cast("double").alias("volume"))
     return live.closing_bars_batch(feed, 3600, clock=4102444800.0)
+
+
+# ---- signals from one account of cash
+def _signals(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, list]:
+    """Every close at a 10-session high is a signal of the account of its exchange; sessions are the days with bars (some hundred)."""
+    b = daily(s, d)
+    w = Window.partitionBy("symbol", "exchange").orderBy("day").rowsBetween(-10, -1)
+    up = b.withColumn("top", F.max("close").over(w)).where("close > top")
+    sig = up.select(F.col("exchange").alias("account"), F.xxhash64("symbol").alias("priority"), F.col("day").alias("signal_date"), F.concat_ws(":", "exchange", "symbol").alias("symbol"))
+    days = [r.session_date for r in table(s, d, "trading_calendar").select("session_date").distinct().collect()]
+    return sig, b.withColumn("symbol", F.concat_ws(":", "exchange", "symbol")), days
+
+
+_RULES = accounts.Rules(capital=1_000_000.0, per_trade=50_000.0, trailing_pct=6.0, cost_bps=10.0, slippage_bps=5.0)
+
+
+@R.add("sim6_account_ledger")
+def sim6_account_ledger(s: SparkSession, d: str) -> DataFrame:
+    return accounts.ledger(*_signals(s, d), _RULES)
+
+
+@R.add("sim6_account_equity")
+def sim6_account_equity(s: SparkSession, d: str) -> DataFrame:
+    return accounts.equity_curve(*_signals(s, d), _RULES)
