@@ -35,7 +35,7 @@ R.add("o7_atm_strike", "select p_partkey, floor(p_retailprice / 50 + 0.5) * 50 a
     lambda s, d: table(s, d, "part").select("p_partkey", options.atm_strike(F.col("p_retailprice"), F.lit(50.0)).cast("double").alias("atm"))
 )
 R.add("o8_oi_totals", with_views("chain", """, t as (select expiry, sum(oi) filter (where side = 'CE') ce_oi, sum(volume) filter (where side = 'CE') ce_volume, sum(oi) filter (where side = 'PE') pe_oi, sum(volume) filter (where side = 'PE') pe_volume from chain group by 1)
-    select *, round(coalesce(pe_oi / nullif(ce_oi, 0), 0), 6) as pcr_oi, round(coalesce(pe_volume / nullif(ce_volume, 0), 0), 6) as pcr_volume from t"""))(lambda s, d: options.totals(chain(s, d)))
+    select *, round(coalesce(pe_oi / nullif(ce_oi, 0), 0), 2) as pcr_oi, round(coalesce(pe_volume / nullif(ce_volume, 0), 0), 2) as pcr_volume from t"""))(lambda s, d: options.totals(chain(s, d)))
 _PAIN = _WIDE + """, p as (select a.expiry, a.strike, sum(case when b.strike < a.strike then (a.strike - b.strike) * coalesce(b.ce_oi, 0) else 0 end + case when b.strike > a.strike then (b.strike - a.strike) * coalesce(b.pe_oi, 0) else 0 end) as pain
     from w a join w b on a.expiry = b.expiry group by 1, 2)"""
 R.add("o9_pain_by_strike", with_views("chain", _PAIN + " select * from p"))(lambda s, d: options.pain(chain(s, d)))
