@@ -184,8 +184,18 @@ R.add("j16_crisis_windows", with_views("long", """select name, symbol, count(*)
     .groupBy("name", "symbol").agg(F.count("*").alias("n"), F.round(F.max_by("close", "day") / F.min_by("close", "day") - 1, 6).alias("move"))
 )
 R.add("j17_nearest_strike", with_views("ticks", ", k as (select distinct 100.0::double + p_size * 10 as strike from part) select t.event_id, arg_min(k.strike, (abs(k.strike - t.price), k.strike)) as nearest from ticks t, k group by 1"))(
-    lambda s, d: align.nearest(ticks(s, d).withColumn("g", F.lit(1)), table(s, d, "part").select(F.lit(1).alias("g"), (F.lit(100.0) + F.col("p_size") * 10).alias("strike")), "g", "price", "strike").select("event_id", "nearest")
+    lambda s, d: _nearest_strike(s, d)
 )
+
+
+def _nearest_strike(s, d):
+    """One row per event; of several prices of one event the closest to a strike decides. Without parts there is no row."""
+    k = table(s, d, "part").select(F.lit(1).alias("g"), (F.lit(100.0) + F.col("p_size") * 10).alias("strike"))
+    t = ticks(s, d).select("event_id", "price", F.lit(1).alias("g")).where(k.agg(F.count("*") > 0).scalar())
+    v = F.struct(F.col("price").isNull().alias("none"), F.abs(F.col("nearest") - F.col("price")).alias("far"), "nearest")
+    return align.nearest(t, k, "g", "price", "strike").groupBy("event_id").agg(F.min(v).alias("v")).select("event_id", "v.nearest")
+
+
 R.add("j18_semi", "select count(*) n from orders where exists (select 1 from lineitem where l_orderkey = o_orderkey and l_returnflag = 'R')")(
     lambda s, d: table(s, d, "orders").join(table(s, d, "lineitem").where("l_returnflag = 'R'"), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi").agg(F.count("*").alias("n"))
 )
