@@ -50,3 +50,14 @@ def test_nearest_strike_of_many_prices_of_one_key(spark):
     assert time.monotonic() - began < 30  # rows times rows took minutes
     want = [min((100.0 + 10 * k for k in range(1, 51)), key=lambda t: (abs(t - i % 7000 / 10), t)) for i in range(7000)]
     assert (r.n, r.total) == (60_000, sum(want[i % 7000] for i in range(60_000)))
+
+
+def test_warnings_after_a_price_of_zero(spark, tmp_path):
+    nan, inf = float("nan"), float("inf")
+    prices = [5.0, 0.0, 5.0, 5.5, -0.0, 0.0, 0.0, None, 0.0, None, None, 4.0, 0.0, -3.0, nan, 1.0, 0.0, nan, 0.0, inf, inf, 2.0, 1e300, 1e-300, 1e300, 1e300]
+    rows = [(i, i, "view", v) for i, v in enumerate(prices)]
+    rows += [(100, 5, "click", 0.0), (101, 60, "click", 0.0), (102, None, "click", 7.0), (103, 95, "click", 7.0), (None, 95, "click", 7.1), (104, 0, None, 0.0), (105, 1, None, 3.0), (106, 90, "view", None)]
+    _events(spark, tmp_path, rows)
+    assert _same(spark, tmp_path, "st10_tick_warnings") > 0
+    got = {r.event_id: (r.jumped, r.stale) for r in entry.queries()["st10_tick_warnings"](spark, str(tmp_path)).collect()}
+    assert [got.get(i) for i in (1, 2, 3, 6, 7, 9, 101, 102, 103, 105, 106)] == [(True, False), (True, False), None, (True, False), None, None, (True, True), None, (True, True), (True, False), (None, True)]
